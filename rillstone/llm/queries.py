@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, quality
+from . import decontaminate, forest, jaccard_join, language_id, lm_score, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,16 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.report(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op6_language, op9_jaccard_join)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op6_language, op7_forest, op9_jaccard_join, op10_lm_score)}
