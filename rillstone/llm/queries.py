@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, forest, jaccard_join, language_id, lm_score, quality
+from . import decontaminate, forest, jaccard_join, language_id, license_scan, line_dedup, lm_score, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(_table(spark, sf_dir, "documents"))
 
@@ -35,4 +43,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op6_language, op7_forest, op9_jaccard_join, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score)}
