@@ -37,14 +37,14 @@ TEMPLATES = [
 ]
 _VOCABULARY = sorted({w for t, _, _ in TEMPLATES for w in t.split()} | {w for p in BASE for w in p.split()})
 _CODE = {w: chr(ord("A") + i) for i, w in enumerate(_VOCABULARY)}  # one ASCII character each, never "."
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of a text.  ``lower`` maps two non-ASCII letters to ASCII ones; they are
     replaced by other non-ASCII characters first, so only A-Z change class."""
     kept = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("")), F.lit("İ"), F.lit(""))
-    return F.regexp_extract_all(F.lower(kept), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(kept), _GAP), "")
 
 
 def _coded(phrase: str) -> str:

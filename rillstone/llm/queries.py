@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, forest, jaccard_join, language_id, license_scan, line_dedup, lm_score, quality
+from . import decontaminate, forest, jaccard_join, language_id, license_scan, line_dedup, lm_score, mixing, quality, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.report(_table(spark, sf_dir, "conversations"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -43,4 +51,13 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, pipeline)}
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLE: dict[str, str] = {}
