@@ -1,4 +1,7 @@
 """All registered queries and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .operators import ingest, jobs, messages, retrieval, rules, signal, similarity  # noqa: F401  (they register themselves)
+from .plans.registry import oracle_queries, spark_queries
+
+QUERIES = spark_queries()
+ORACLE = oracle_queries()
