@@ -67,4 +67,4 @@ def context_after_match(d):
 def enclosing_scope(d):
     """For each matching line the last heading-like line (one that starts with a capital and ends with a stop) above it."""
     last = "last(CASE WHEN head THEN pos END, true)" if d.name == "spark" else "last_value(CASE WHEN head THEN pos END IGNORE NULLS)"
-    return f"WITH {lines(d)}, marked AS (SELECT doc_id, pos, {d.rx('line', '^[A-Z][a-z]+[.]$')} AS head, {d.rx('line', '[0-9]')} AS hit FROM lines) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(scope AS BIGINT) AS scope FROM (SELECT *, {last} OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM marked) x WHERE hit"
+    return f"WITH {lines(d)}, marked AS (SELECT doc_id, pos, {d.rx('line', '^[A-Z][a-z]+[.]$')} AS head, {d.rx('line', '[0-9]')} AS hit FROM lines) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(coalesce(scope, -1) AS BIGINT) AS scope FROM (SELECT *, {last} OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM marked) x WHERE hit"
