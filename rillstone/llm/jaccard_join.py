@@ -6,9 +6,9 @@ of ``num``/``den`` two linked texts must share a token among the first
 ``|x| - ceil(|x| num / den) + 1`` of each *under every total order*.  Three are
 used: rarest first (frequencies of all shingles of all texts, in a count table of
 fixed size; ties by hash) and two by independent hashes.  The first one is the
-join key, the others and a 1,024-bit parity sketch (its Hamming distance never
-exceeds the sets' symmetric difference) are checked inside the join, and what
-passes all filters is verified on the full sets.
+join key; a 1,024-bit parity sketch (its Hamming distance never exceeds the sets'
+symmetric difference) is compared inside the join, candidates are intersected with the
+other orders' prefixes, and what passes all filters is verified on the full sets.
 
 No pairs are expanded within a group.  Equal sets become one class; in every
 bucket of a prefix token all members are first compared with one leader (the
@@ -150,13 +150,20 @@ def _shared(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in batch.column(2)], pa.int64()), pa.array([len(x.as_buffer()) // 8 for x in batch.column(3)], pa.int64())], ["a", "b", "both", "na", "nb"])
 
 
-def _passes(x: str, y: str, num: int, den: int) -> Column:
-    """Size, parity-sketch and further-order filters on the structs x and y."""
+def _near(x: str, y: str, num: int, den: int) -> Column:
+    """Size and parity-sketch filters on the structs x and y."""
     a, b = F.col(x), F.col(y)
     apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
     sizes = (a["n"] * den >= b["n"] * num) & (b["n"] * den >= a["n"] * num)
-    return (sizes & (apart * (den + num) <= (a["n"] + b["n"]) * (den - num))
-            & F.arrays_overlap(a["second"], b["second"]) & F.arrays_overlap(a["third"], b["third"]))
+    return sizes & (apart * (den + num) <= (a["n"] + b["n"]) * (den - num))
+
+
+def _filtered(pairs: DataFrame, details: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that pass the filters of all orders."""
+    pairs = (pairs.join(details.select(F.col("node").alias("a"), F.col("it").alias("x")), "a")
+             .join(details.select(F.col("node").alias("b"), F.col("it").alias("y")), "b"))
+    orders = F.arrays_overlap("x.first", "y.first") & F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third")
+    return Settled(pairs.where(_near("x", "y", num, den) & orders).select("a", "b")).df
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -184,25 +191,22 @@ def jaccard_join(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     common = spark.sparkContext.broadcast(_frequencies(source.select("text"), n))
     profile = Settled(map_arrow(source, lambda b: _profiles(b.column(0), b.column(1), n, num, den, common.value), _PROFILE)).df
-    full = profile.where("n > 0")
-    classes = Settled(full.groupBy("node").agg(F.min("id").alias("least"))).df
+    facts = ["n", "typical", "sketch", "first", "second", "third"]
+    unique = profile.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.first(F.struct("node", *facts)).alias("it"))
+    unique = Settled(unique).df
+    classes, details = unique.select("node", "least"), unique.select("node", "it")
 
-    # Buckets of a prefix token that hold two classes or more.
-    tokens = full.select("node", F.explode("first").alias("token"))
-    tokens = tokens.distinct()
+    # Buckets of a prefix token that hold two classes or more; one shuffle by token serves all three steps.
+    tokens = unique.select("node", F.explode("it.first").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    buckets = Settled(tokens.join(shared, "token")).df
-    facts = ["n", "typical", "sketch", "second", "third"]
-    member = buckets.select("node").distinct()
-    details = Settled(full.join(member, "node", "left_semi").dropDuplicates(["node"]).select("node", F.struct("node", *facts, "first").alias("it"))).df
+    buckets = Settled(tokens.join(shared, "token").distinct()).df
 
-    # Every member against its bucket's leader.
-    ranked = buckets.join(details.select("node", F.col("it.typical").alias("typical")), "node")
+    # Every member against its bucket's leader.  Bucket rows carry no sets or prefixes.
+    short = Settled(details.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "it.n", "it.typical", "it.sketch")).df
+    ranked = buckets.join(short.select("node", "typical"), "node")
     leaders = ranked.groupBy("token").agg(F.max(F.struct("typical", "node"))["node"].alias("leader"))
     pairs = buckets.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    pairs = (pairs.join(details.select(F.col("node").alias("a"), F.col("it").alias("x")), "a")
-             .join(details.select(F.col("node").alias("b"), F.col("it").alias("y")), "b"))
-    pairs = Settled(pairs.where(_passes("x", "y", num, den)).select("a", "b")).df
+    pairs = _filtered(pairs, details, num, den)
     links = _verified(pairs, source, classes, n, num, den)
     joined = Settled(components(links)).df
 
@@ -210,14 +214,13 @@ def jaccard_join(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100
     placed = buckets.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
     sized = placed.groupBy("token", "root").agg(F.count("*").alias("members"))
     main = sized.groupBy("token").agg(F.max(F.struct("members", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    placed = placed.join(main, "token").join(details, "node").select("token", "root", (F.col("root") == F.col("main")).alias("inside"), "it")
+    placed = placed.join(main, "token").join(short, "node").select("token", "root", (F.col("root") == F.col("main")).alias("inside"), F.struct("node", "n", "sketch").alias("it"))
     left = placed.where(~F.col("inside")).select("token", F.col("root").alias("root_x"), F.col("it").alias("x"))
-    right = placed.select("token", F.col("root").alias("root_y"), "inside", F.col("it").alias("y"))
-    first_shared = F.col("token") == F.array_min(F.array_intersect(F.col("x.first"), F.col("y.first")))
+    right = placed.select(F.col("token").alias("token_y"), F.col("root").alias("root_y"), "inside", F.col("it").alias("y"))
     other = F.col("inside") | (F.col("x.node") < F.col("y.node"))
-    crossing = left.join(right, (left["token"] == right["token"]) & (F.col("root_x") != F.col("root_y")) & other & _passes("x", "y", num, den))
-    crossing = crossing.select(left["token"].alias("token"), "x", "y")
-    crossing = Settled(crossing.where(first_shared).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()).df
+    crossing = left.join(right, (F.col("token") == F.col("token_y")) & (F.col("root_x") != F.col("root_y")) & other & _near("x", "y", num, den))
+    crossing = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    crossing = _filtered(crossing, details, num, den)
     more = _verified(crossing, source, classes, n, num, den)
     if more.take(1):
         joined = Settled(components(links.unionByName(more))).df
