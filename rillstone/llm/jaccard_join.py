@@ -6,7 +6,7 @@ of ``num``/``den`` two linked texts must share a token among the first
 ``|x| - ceil(|x| num / den) + 1`` of each *under every total order*.  Three are
 used: rarest first (frequencies of all shingles of all texts, in a count table of
 fixed size; ties by hash) and two by independent hashes.  The first one is the
-join key; a 1,024-bit parity sketch (its Hamming distance never exceeds the sets'
+join key; a 512-bit parity sketch (its Hamming distance never exceeds the sets'
 symmetric difference) is compared inside the join, candidates are intersected with the
 other orders' prefixes, and what passes all filters is verified on the full sets.
 
@@ -25,6 +25,8 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 from . import wordbytes as wb
 from .common import Settled, bloom, bloom_size, components, in_bloom, map_arrow
 
-CELLS = 1 << 20  # counters of the frequency table: 8 MB a task, 1 MB broadcast
-SKETCH = 1024  # bits of the parity sketch
+CELL_BITS = 23
+CELLS = 1 << CELL_BITS  # counters of the frequency table, at most 16 MB a task; 8 MB broadcast
+SKETCH = 512  # bits of the parity sketch
 
 _PROFILE = ("id long, n long, node long, typical double, sketch array<long>, "
             "first array<long>, second array<int>, third array<int>")
@@ -73,26 +76,29 @@ def _sets(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np
 def _frequencies(texts: DataFrame, n: int) -> np.ndarray:
     """log2 of shingle counts by cell, as one byte each; over all texts."""
 
+    def packed(own):
+        return pa.RecordBatch.from_arrays([pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], ["cells"])
+
     def local(batches):
-        own = np.zeros(CELLS, np.int64)
+        own = np.zeros(CELLS, np.uint16)
         for batch in batches:
             for _, offsets, data in wb.runs(batch.column(0)):
                 hashes, _, _, first = wb.words(data, offsets, wb.SPACED)
-                own += np.bincount((_shingles(hashes, first, n)[0] >> np.uint64(44)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(own, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], ["cells"])
+                cells, counts = np.unique(_shingles(hashes, first, n)[0] >> np.uint64(64 - CELL_BITS), return_counts=True)
+                own[cells] = np.minimum(own[cells] + counts, 65_535)
+        yield packed(own)
 
     def merged(batches):
-        own = np.zeros(CELLS, np.uint64)
+        own = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for value in batch.column(0):
-                own += np.frombuffer(value.as_buffer(), np.uint32)
-        own = np.minimum(own, np.uint64(2**32 - 1)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["cells"])
+                own += np.frombuffer(zlib.decompress(value.as_buffer()), np.uint16)
+        yield packed(np.minimum(own, 65_535).astype(np.uint16))
 
     cells = texts.mapInArrow(local, "cells binary").repartition(16).mapInArrow(merged, "cells binary")
     rows = cells.coalesce(1).mapInArrow(merged, "cells binary").collect()
-    counts = np.frombuffer(rows[0][0], np.uint32) if rows else np.zeros(CELLS, np.uint32)
-    return np.minimum(8 * np.log2(counts.astype(np.float64) + 1), 255).astype(np.uint8)
+    counts = np.frombuffer(zlib.decompress(rows[0][0]), np.uint16) if rows else np.zeros(CELLS, np.uint16)
+    return (8 * np.log2(counts.astype(np.float32) + 1)).astype(np.uint8)
 
 
 def _lists(values: list[np.ndarray], dtype) -> pa.Array:
@@ -107,7 +113,7 @@ def _profiles(ids: pa.Array, texts: pa.Array, n: int, num: int, den: int, common
         flat, begin = _sets(hashes, first, n)
         size = np.diff(begin)
         row = np.repeat(np.arange(len(size)), size)
-        rank = common[(flat >> np.uint64(44)).astype(np.int64)]
+        rank = common[(flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
         typical = np.bincount(row, rank, len(size)) / np.maximum(size, 1)
         node = np.zeros(len(size), np.uint64)
         np.add.at(node, row, wb.mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -158,12 +164,12 @@ def _near(x: str, y: str, num: int, den: int) -> Column:
     return sizes & (apart * (den + num) <= (a["n"] + b["n"]) * (den - num))
 
 
-def _filtered(pairs: DataFrame, details: DataFrame, num: int, den: int) -> DataFrame:
+def _filtered(pairs: DataFrame, details: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` that pass the filters of all orders."""
     pairs = (pairs.join(details.select(F.col("node").alias("a"), F.col("it").alias("x")), "a")
              .join(details.select(F.col("node").alias("b"), F.col("it").alias("y")), "b"))
     orders = F.arrays_overlap("x.first", "y.first") & F.arrays_overlap("x.second", "y.second") & F.arrays_overlap("x.third", "y.third")
-    return Settled(pairs.where(_near("x", "y", num, den) & orders).select("a", "b")).df
+    return Settled(pairs.where(orders).select("a", "b")).df
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -206,7 +212,9 @@ def jaccard_join(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100
     ranked = buckets.join(short.select("node", "typical"), "node")
     leaders = ranked.groupBy("token").agg(F.max(F.struct("typical", "node"))["node"].alias("leader"))
     pairs = buckets.join(leaders, "token").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    pairs = _filtered(pairs, details, num, den)
+    near = (pairs.join(short.select(F.col("node").alias("a"), F.struct("n", "sketch").alias("x")), "a")
+            .join(short.select(F.col("node").alias("b"), F.struct("n", "sketch").alias("y")), "b").where(_near("x", "y", num, den)))
+    pairs = _filtered(near.select("a", "b"), details)
     links = _verified(pairs, source, classes, n, num, den)
     joined = Settled(components(links)).df
 
@@ -220,7 +228,7 @@ def jaccard_join(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100
     other = F.col("inside") | (F.col("x.node") < F.col("y.node"))
     crossing = left.join(right, (F.col("token") == F.col("token_y")) & (F.col("root_x") != F.col("root_y")) & other & _near("x", "y", num, den))
     crossing = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    crossing = _filtered(crossing, details, num, den)
+    crossing = _filtered(crossing, details)
     more = _verified(crossing, source, classes, n, num, den)
     if more.take(1):
         joined = Settled(components(links.unionByName(more))).df
