@@ -32,9 +32,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; a document of nothing else goes."""
+    """Repeated chunks of lines go from the texts; a document that keeps less than a
+    fifth of its text was a copy and goes."""
     left = line_dedup.line_dedup(docs.select(*COLUMNS))
-    return _sized(left.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
+    kept = F.length(F.trim("text")) * 5 >= F.length("text") + F.col("n_removed_chars")
+    return _sized(left.where((F.col("n_removed") == 0) | kept))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

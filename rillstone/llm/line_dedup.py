@@ -52,7 +52,8 @@ def _text(kept: Column) -> Column:
 
 def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with repeated chunks removed from the text, and the columns
-    ``n_removed`` (chunks) and ``n_removed_lines`` added."""
+    ``n_removed`` (chunks), ``n_removed_lines`` and
+    ``n_removed_chars`` added."""
     order, text = F.col(id_col), F.col(text_col)
     keys = [F.xxhash64(order, text).alias("key_a"), F.xxhash64(text, order, F.lit(1)).alias("key_b")]
     pieces = documents.where(text.contains("\n")).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
@@ -72,7 +73,8 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lost = F.aggregate(F.transform(cut, lambda c, i: F.when(F.array_contains("gone", i), F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
     new = F.when(F.col("gone").isNull(), F.col("row")[text_col]).when(F.size(kept) == 0, F.lit("")).otherwise(_text(kept))
     return own.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns],
-                      F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce(lost, F.lit(0)).alias("n_removed_lines"))
+                      F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce(lost, F.lit(0)).alias("n_removed_lines"),
+                      F.coalesce(F.length(F.col("row")[text_col]) - F.length(new), F.lit(0)).alias("n_removed_chars"))
 
 
 def report(documents: DataFrame) -> DataFrame:

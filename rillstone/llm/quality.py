@@ -84,7 +84,7 @@ class Network:
         self.p = [rng.normal(0, 1 / np.sqrt(WIDTH), shape), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
         first, second, step = [np.zeros_like(v) for v in self.p], [np.zeros_like(v) for v in self.p], 0
         batches = max(1, len(xu) // 256)
-        for _ in range(epochs):
+        for _ in range(max(epochs, 25 * epochs // batches)):
             a, b = rng.permutation(len(xp)), rng.permutation(len(xu))
             for i in range(batches):
                 p, u = xp[a[i::batches]], xu[b[i::batches]]
