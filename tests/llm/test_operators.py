@@ -116,7 +116,7 @@ def test_lm(docs):
 
 
 def test_lm_windows_score_each_token_once():
-    model = lm_score.Attention(np.arange(3000.0), 2999)
+    model = lm_score.Attention(np.arange(3000.0)[:, None], 2999)
     rng = np.random.default_rng(0)
     ids, begin = rng.integers(0, 2999, 700), np.array([0, 1, 9, 300, 700])
     whole = model.log_probabilities(ids, begin)
