@@ -1,7 +1,9 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 A rolling hash over the hashes of ``2`` neighbouring lines is computed for every
-line; a chunk ends where it is a strict local minimum.  The borders depend on the
+line; a chunk ends where it is a strict local minimum.  A line of ``PASSAGE`` words or
+more is a whole paragraph written without breaks: it counts as several lines and is
+a chunk of its own.  The borders depend on the
 neighbouring lines alone, so a passage is cut alike wherever it stands, shifted or
 not, and inner chunks have two lines or more.  Chunks of several lines that occur
 more than once anywhere are compared byte by byte (they are grouped by their text,
@@ -12,8 +14,10 @@ A chunk is held as its lines with an ``x`` before each, joined by line breaks; t
 line breaks in a row then separate chunks and nothing else, so cutting a text into
 chunks takes one pass over it.
 
+Both joins are sort-merge joins at every size, so small and large tables run one plan.
+
 Edge cases: a null text stays null; an empty one stays empty; a text without line
-breaks is one line and never touched; rows that repeat both id and text are one
+breaks is one line, touched only if it has ``PASSAGE`` words; rows that repeat both id and text are one
 document and all stay; rows without an id come first; an empty table gives an empty
 result; other columns are passed on.
 """
@@ -26,6 +30,13 @@ from pyspark.sql import functions as F
 from .common import Settled
 
 
+PASSAGE = 40  # words (runs between spaces) that make a line a passage; below 50, as words may be counted otherwise
+
+
+def _wide(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= PASSAGE - 1
+
+
 def _before(x: Column, fill: Column) -> Column:
     return F.slice(F.concat(F.array(fill), x), 1, F.size(x))
 
@@ -41,7 +52,9 @@ def chunks(text: Column) -> Column:
     own = F.transform(lines, lambda line: F.xxhash64(line))
     roll = F.zip_with(own, _before(own, zero), lambda a, b: F.xxhash64(a, b))
     low = F.zip_with(F.zip_with(roll, _before(roll, most), lambda a, b: a < b), F.zip_with(roll, _after(roll, most), lambda a, b: a < b), lambda a, b: a & b)
-    coded = F.array_join(F.zip_with(lines, low, lambda line, end: F.concat(F.lit("x"), line, F.when(end, F.lit("\n\n")).otherwise(F.lit("\n")))), "")
+    wide = F.transform(lines, _wide)
+    ends = F.zip_with(F.zip_with(wide, _after(wide, F.lit(False)), lambda a, b: a | b), low, lambda a, b: a | b)
+    coded = F.array_join(F.zip_with(lines, ends, lambda line, end: F.concat(F.lit("x"), line, F.when(end, F.lit("\n\n")).otherwise(F.lit("\n")))), "")
     return F.split(F.regexp_replace(coded, "\n+$", ""), "\n\n")
 
 
@@ -56,17 +69,17 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``n_removed_chars`` added."""
     order, text = F.col(id_col), F.col(text_col)
     keys = [F.xxhash64(order, text).alias("key_a"), F.xxhash64(text, order, F.lit(1)).alias("key_b")]
-    pieces = documents.where(text.contains("\n")).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
-    pieces = pieces.where(F.col("chunk").contains("\n")).withColumn("hash", F.xxhash64("chunk"))
+    pieces = documents.where(text.contains("\n") | _wide(text)).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
+    pieces = pieces.where(F.col("chunk").contains("\n") | _wide(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
     where = F.struct("id", "key_a", "key_b", "place")
     same = pieces.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1")
     same = Settled(same.select("hash", F.sha2(F.col("chunk").cast("binary"), 256).alias("bytes"), "first")).df
     # Places carry a digest of the bytes instead of the bytes; texts were told apart above.
     spots = pieces.select("hash", where.alias("spot"), F.sha2(F.col("chunk").cast("binary"), 256).alias("bytes"))
-    drop = spots.join(same, ["hash", "bytes"]).where("spot <> first").select("spot.key_a", "spot.key_b", "spot.place")
+    drop = spots.join(same.hint("merge"), ["hash", "bytes"]).where("spot <> first").select("spot.key_a", "spot.key_b", "spot.place")
     drop = Settled(drop.groupBy("key_a", "key_b").agg(F.collect_set("place").alias("gone"))).df
     every = [F.col(c) for c in documents.columns]
-    own = documents.select(F.struct(*every).alias("row"), *keys).join(drop, ["key_a", "key_b"], "left")
+    own = documents.select(F.struct(*every).alias("row"), *keys).join(drop.hint("merge"), ["key_a", "key_b"], "left")
     # Only texts that lose something are cut again.
     cut = F.when(F.col("gone").isNotNull(), chunks(F.col("row")[text_col]))
     kept = F.filter(F.transform(cut, lambda c, i: F.when(~F.array_contains("gone", i), c)), lambda c: c.isNotNull())

@@ -140,6 +140,14 @@ def test_line_dedup(spark):
         assert out[i].n_removed_lines >= 5 and len(lines) + out[i].n_removed_lines == 17
 
 
+def test_line_dedup_passages_in_one_line(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"own {i}\n{passage}\nend {i}\nlast {i}") for i in range(4)] + [(8, passage), (9, f"first\n{passage}"), (10, "short line"), (11, "short line")]
+    out = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == (rows[0][1], 0) and out[8] == ("", 1) and out[9] == ("first", 1) and out[10] == out[11] == ("short line", 0)
+    assert all(out[i] == (f"own {i}\nend {i}\nlast {i}", 1) for i in range(1, 4))
+
+
 def test_forest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
