@@ -11,7 +11,7 @@ not only by its hash); every occurrence but the first (smallest id, then place)
 removed.
 
 A chunk is held as its lines with an ``x`` before each, joined by line breaks; two
-line breaks in a row then separate chunks and nothing else, so cutting a text into
+line breaks or more in a row then separate chunks and nothing else, so cutting a text into
 chunks takes one pass over it.
 
 Both joins are sort-merge joins at every size, so small and large tables run one plan.
@@ -34,7 +34,8 @@ PASSAGE = 40  # words (runs between spaces) that make a line a passage; below 50
 
 
 def _wide(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= PASSAGE - 1
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return (F.octet_length(line) >= 2 * PASSAGE - 1) & (spaces >= PASSAGE - 1)
 
 
 def _before(x: Column, fill: Column) -> Column:
@@ -52,10 +53,10 @@ def chunks(text: Column) -> Column:
     own = F.transform(lines, lambda line: F.xxhash64(line))
     roll = F.zip_with(own, _before(own, zero), lambda a, b: F.xxhash64(a, b))
     low = F.zip_with(F.zip_with(roll, _before(roll, most), lambda a, b: a < b), F.zip_with(roll, _after(roll, most), lambda a, b: a < b), lambda a, b: a & b)
-    wide = F.transform(lines, _wide)
-    ends = F.zip_with(F.zip_with(wide, _after(wide, F.lit(False)), lambda a, b: a | b), low, lambda a, b: a | b)
-    coded = F.array_join(F.zip_with(lines, ends, lambda line, end: F.concat(F.lit("x"), line, F.when(end, F.lit("\n\n")).otherwise(F.lit("\n")))), "")
-    return F.split(F.regexp_replace(coded, "\n+$", ""), "\n\n")
+    # A passage brings its own breaks, before and after.
+    line_of = lambda line, end: F.when(_wide(line), F.concat(F.lit("\nx"), line, F.lit("\n\n"))).otherwise(F.concat(F.lit("x"), line, F.when(end, F.lit("\n\n")).otherwise(F.lit("\n"))))
+    coded = F.array_join(F.zip_with(lines, low, line_of), "")
+    return F.split(F.regexp_replace(coded, "^\n|\n+$", ""), "\n\n+")
 
 
 def _text(kept: Column) -> Column:
