@@ -98,19 +98,21 @@ class Model:
         if len(names) < 2:
             self.weights, self.bias, self.trust = np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1)
             return
-        spread = np.sqrt(x.mean(0) + 1e-6)
-        z = x / spread
-        middle = z.mean(0)
-        z = z - middle
+        spread = np.sqrt(x.mean(0, dtype=np.float64) + 1e-6)
+        z = x / spread.astype(x.dtype)
+        middle = z.mean(0, dtype=np.float64)
+        z -= middle.astype(x.dtype)
         share = np.bincount(y, minlength=len(names)) / len(y)
         row = np.sqrt(1 / (share[y] * len(names)))  # every language weighs the same
         target = self.code[y]
-        zw = z * row[:, None]
-        dual = np.linalg.solve(zw @ zw.T + ridge * np.eye(len(y)), (target - target.mean(0)) * row[:, None])
-        w = zw.T @ dual
+        z *= row[:, None].astype(x.dtype)  # in place: the sample is the driver's largest object
+        gram = (z @ z.T).astype(np.float64)
+        gram[np.diag_indices(len(y))] += ridge
+        w = z.T @ np.linalg.solve(gram, (target - target.mean(0)) * row[:, None]).astype(x.dtype)
+        del z, gram
         self.bias = target.mean(0) - middle @ w
         self.weights = w / spread[:, None]
-        right = ((x @ self.weights + self.bias) * target > 0).mean(0)
+        right = ((x @ self.weights.astype(x.dtype) + self.bias) * target > 0).mean(0)
         self.trust = np.clip(2 * right - 1, 0.05, 1)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -135,6 +137,12 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Equally long binary values as the rows of a float32 matrix, without Python objects."""
+    parts = [np.frombuffer(c.buffers()[2], np.uint8)[4 * BUCKETS * c.offset :][: 4 * BUCKETS * len(c)] for c in column.chunks if len(c)]
+    return (np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint8)).view(np.float32).reshape(-1, BUCKETS)
+
+
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
         per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learn from a bounded sample: ``per_language`` rows of each language."""
@@ -149,7 +157,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     ids = [r[0] for r in chosen.collect()]  # at most per_language * languages
     sample = rows.where(F.col(id_col).isin(ids)).select(lang_col, text_col) if len(ids) < 10_000 else rows.join(F.broadcast(chosen.distinct()), rows[id_col] == F.col("chosen"), "left_semi").select(lang_col, text_col)
     table = map_arrow(sample, _histograms, "lang string, x binary").orderBy("lang", F.xxhash64("x")).toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, BUCKETS).astype(np.float64)
+    x = _rows(table["x"])
     return Model(known, x, np.array([known.index(v) for v in table["lang"].to_pylist()]))
 
 
