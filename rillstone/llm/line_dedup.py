@@ -73,14 +73,18 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = documents.where(text.contains("\n") | _wide(text)).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
     pieces = pieces.where(F.col("chunk").contains("\n") | _wide(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
     # Texts are cut once; the written pieces serve both the grouping and the places.
-    pieces = Settled(pieces.withColumn("bytes", F.sha2(F.col("chunk").cast("binary"), 256))).df
+    cut_once = Settled(pieces.withColumn("bytes", F.sha2(F.col("chunk").cast("binary"), 256)))
+    pieces = cut_once.df
     where = F.struct("id", "key_a", "key_b", "place")
     same = pieces.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.min("bytes").alias("bytes")).where("n > 1")
-    same = Settled(same.select("hash", "bytes", "first")).df
+    repeated = Settled(same.select("hash", "bytes", "first"))
+    same = repeated.df
     # Places carry a digest of the bytes instead of the bytes; texts were told apart above.
     spots = pieces.select("hash", where.alias("spot"), "bytes")
     drop = spots.join(same.hint("merge"), ["hash", "bytes"]).where("spot <> first").select("spot.key_a", "spot.key_b", "spot.place")
     drop = Settled(drop.groupBy("key_a", "key_b").agg(F.collect_set("place").alias("gone"))).df
+    cut_once.free()
+    repeated.free()
     every = [F.col(c) for c in documents.columns]
     own = documents.select(F.struct(*every).alias("row"), *keys).join(drop.hint("merge"), ["key_a", "key_b"], "left")
     # Only texts that lose something are cut again.
