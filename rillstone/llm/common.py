@@ -33,12 +33,13 @@ class Settled:
 
     It cuts lineage: a lost executor costs a re-read of the files, not a
     recomputation.  ``free()`` removes the files once nothing lazy needs them.
+    ``group_bytes`` bounds a row group, and with it what a task buffers.
     """
 
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, group_bytes: int = 128 << 20):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("parquet.block.size", group_bytes).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def free(self) -> None:

@@ -73,7 +73,7 @@ def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pieces = documents.where(text.contains("\n") | _wide(text)).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
     pieces = pieces.where(F.col("chunk").contains("\n") | _wide(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
     # Texts are cut once; the written pieces serve both the grouping and the places.
-    cut_once = Settled(pieces.withColumn("bytes", F.sha2(F.col("chunk").cast("binary"), 256)))
+    cut_once = Settled(pieces.withColumn("bytes", F.sha2(F.col("chunk").cast("binary"), 256)), 8 << 20)
     pieces = cut_once.df
     where = F.struct("id", "key_a", "key_b", "place")
     same = pieces.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.min("bytes").alias("bytes")).where("n > 1")
