@@ -115,6 +115,15 @@ def test_lm(docs):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
 
 
+def test_lm_learns_from_every_training_text(spark):
+    ids = [r.id for r in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(40)) != 0).limit(60).collect()]
+    rows = [(i if i % 2 else None, "stone river hill " * 20) for i in ids]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    ask = spark.createDataFrame([(1, "stone river hill " * 5), (2, "window paper blue " * 5)], "doc_id long, text string")
+    score = {r.id: r.score / r.n_pieces for r in lm_score.lm_score(ask, training).collect()}
+    assert score[1] > -1.5 and score[1] > score[2] + 1
+
+
 def test_lm_windows_score_each_token_once():
     model = lm_score.Attention(np.arange(3000.0)[:, None], 2999)
     rng = np.random.default_rng(0)
