@@ -1,18 +1,16 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
-
-A rolling hash over the hashes of ``2`` neighbouring lines is computed for every
-line; a chunk ends where it is a strict local minimum.  A line of ``PASSAGE`` words or
-more is a whole paragraph written without breaks: it counts as several lines and is
-a chunk of its own.  The borders depend on the
-neighbouring lines alone, so a passage is cut alike wherever it stands, shifted or
-not, and inner chunks have two lines or more.  Chunks of several lines that occur
-more than once anywhere are compared byte by byte (they are grouped by their text,
-not only by its hash); every occurrence but the first (smallest id, then place) is
-removed.
-
-A chunk is held as its lines with an ``x`` before each, joined by line breaks; two
-line breaks or more in a row then separate chunks and nothing else, so cutting a text into
-chunks takes one pass over it.
+"""Line dedup by a rolling hash over lines, in DataFrame functions only.
+
+The hash rolls over ``2`` neighbouring lines and every place of it is a cut: each pair
+of neighbouring lines is a window, whatever stands around it, so a repeated passage of
+two lines or more consists of windows that repeat.  A line of ``PASSAGE`` words or
+more is a whole paragraph written without breaks and a window of its own, too.
+Windows that occur more than once anywhere are told apart by the SHA-256 of their
+bytes; the lines of every occurrence but the first (smallest id, then place) are
+removed.  The first place of any line is in no later occurrence, so one copy of each
+line always stays.
+
+Empty lines make no window: they belong to the window around them, with which they go.
+A part of a line is never removed: a passage inside a longer line stays.
 
 Both joins are sort-merge joins at every size, so small and large tables run one plan.
 
@@ -38,63 +36,43 @@ def _wide(line: Column) -> Column:
     return (F.octet_length(line) >= 2 * PASSAGE - 1) & (spaces >= PASSAGE - 1)
 
 
-def _before(x: Column, fill: Column) -> Column:
-    return F.slice(F.concat(F.array(fill), x), 1, F.size(x))
-
-
-def _after(x: Column, fill: Column) -> Column:
-    return F.slice(F.concat(x, F.array(fill)), 2, F.size(x))
-
-
-def chunks(text: Column) -> Column:
-    """The coded chunks of a text, in order."""
-    lines = F.split(text, "\n", -1)
-    most, zero = F.lit(2**63 - 1), F.lit(0).cast("long")
-    own = F.transform(lines, lambda line: F.xxhash64(line))
-    roll = F.zip_with(own, _before(own, zero), lambda a, b: F.xxhash64(a, b))
-    low = F.zip_with(F.zip_with(roll, _before(roll, most), lambda a, b: a < b), F.zip_with(roll, _after(roll, most), lambda a, b: a < b), lambda a, b: a & b)
-    # A passage brings its own breaks, before and after.
-    line_of = lambda line, end: F.when(_wide(line), F.concat(F.lit("\nx"), line, F.lit("\n\n"))).otherwise(F.concat(F.lit("x"), line, F.when(end, F.lit("\n\n")).otherwise(F.lit("\n"))))
-    coded = F.array_join(F.zip_with(lines, low, line_of), "")
-    return F.split(F.regexp_replace(coded, "^\n|\n+$", ""), "\n\n+")
-
-
-def _text(kept: Column) -> Column:
-    """Coded chunks back to a text."""
-    return F.array_join(F.transform(F.split(F.array_join(kept, "\n"), "\n"), lambda line: F.substring(line, 2, 2**31 - 1)), "\n")
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
 def line_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with repeated chunks removed from the text, and the columns
-    ``n_removed`` (chunks), ``n_removed_lines`` and
+    """``documents`` with repeated lines removed from the text, and the columns
+    ``n_removed`` (runs of lines), ``n_removed_lines`` and
     ``n_removed_chars`` added."""
     order, text = F.col(id_col), F.col(text_col)
     keys = [F.xxhash64(order, text).alias("key_a"), F.xxhash64(text, order, F.lit(1)).alias("key_b")]
-    pieces = documents.where(text.contains("\n") | _wide(text)).select(order.alias("id"), *keys, F.posexplode(chunks(text)).alias("place", "chunk"))
-    pieces = pieces.where(F.col("chunk").contains("\n") | _wide(F.col("chunk"))).withColumn("hash", F.xxhash64("chunk"))
-    # Texts are cut once; the written pieces serve both the grouping and the places.
-    cut_once = Settled(pieces.withColumn("bytes", F.sha2(F.col("chunk").cast("binary"), 256)), 8 << 20)
+    filled = F.filter(F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("at"))), lambda x: x["line"] != "")
+    texts = documents.where(text.contains("\n") | _wide(text)).select(order.alias("id"), *keys, filled.alias("lines"))
+    lines, most = F.col("lines"), F.greatest(F.size("lines") - 1, F.lit(0))
+    window = lambda a, b, x: F.struct(a["at"].alias("at"), b["at"].alias("to"), _digest(x).alias("bytes"))
+    pairs = F.zip_with(F.slice(lines, F.lit(1), most), F.slice(lines, F.lit(2), most), lambda a, b: window(a, b, F.concat(a["line"], F.repeat(F.lit("\n"), b["at"] - a["at"]), b["line"])))
+    alone = F.transform(F.filter(lines, lambda a: _wide(a["line"])), lambda a: window(a, a, a["line"]))
+    # Texts are cut once; the written windows serve both the grouping and the places.
+    cut_once = Settled(texts.select("id", "key_a", "key_b", F.inline(F.concat(pairs, alone))), 8 << 20)
     pieces = cut_once.df
-    where = F.struct("id", "key_a", "key_b", "place")
-    same = pieces.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(where).alias("first"), F.min("bytes").alias("bytes")).where("n > 1")
-    repeated = Settled(same.select("hash", "bytes", "first"))
-    same = repeated.df
-    # Places carry a digest of the bytes instead of the bytes; texts were told apart above.
-    spots = pieces.select("hash", where.alias("spot"), "bytes")
-    drop = spots.join(same.hint("merge"), ["hash", "bytes"]).where("spot <> first").select("spot.key_a", "spot.key_b", "spot.place")
-    drop = Settled(drop.groupBy("key_a", "key_b").agg(F.collect_set("place").alias("gone"))).df
+    where = F.struct("id", "key_a", "key_b", "at", "to")
+    repeated = Settled(pieces.groupBy("bytes").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").select("bytes", "first"))
+    spots = pieces.select(where.alias("spot"), "bytes")
+    drop = spots.join(repeated.df.hint("merge"), "bytes").where("spot <> first").select("spot.key_a", "spot.key_b", F.explode(F.sequence("spot.at", "spot.to")).alias("line"))
+    drop = Settled(drop.groupBy("key_a", "key_b").agg(F.collect_set("line").alias("gone"))).df
     cut_once.free()
     repeated.free()
     every = [F.col(c) for c in documents.columns]
     own = documents.select(F.struct(*every).alias("row"), *keys).join(drop.hint("merge"), ["key_a", "key_b"], "left")
     # Only texts that lose something are cut again.
-    cut = F.when(F.col("gone").isNotNull(), chunks(F.col("row")[text_col]))
-    kept = F.filter(F.transform(cut, lambda c, i: F.when(~F.array_contains("gone", i), c)), lambda c: c.isNotNull())
-    lost = F.aggregate(F.transform(cut, lambda c, i: F.when(F.array_contains("gone", i), F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit(""))) + 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
-    new = F.when(F.col("gone").isNull(), F.col("row")[text_col]).when(F.size(kept) == 0, F.lit("")).otherwise(_text(kept))
-    return own.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns],
-                      F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.coalesce(lost, F.lit(0)).alias("n_removed_lines"),
-                      F.coalesce(F.length(F.col("row")[text_col]) - F.length(new), F.lit(0)).alias("n_removed_chars"))
+    own = own.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col("row")[text_col], "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    own = own.withColumn("new", F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(left))
+    runs = F.size(F.array_except("gone", F.transform("gone", lambda i: i + 1)))
+    return own.select(*[(F.col("new") if c == text_col else F.col("row")[c]).alias(c) for c in documents.columns],
+                      F.coalesce(F.when(F.col("gone").isNotNull(), runs), F.lit(0)).alias("n_removed"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).alias("n_removed_lines"),
+                      F.coalesce(F.length(F.col("row")[text_col]) - F.length("new"), F.lit(0)).alias("n_removed_chars"))
 
 
 def report(documents: DataFrame) -> DataFrame:

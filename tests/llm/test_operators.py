@@ -157,6 +157,25 @@ def test_line_dedup_passages_in_one_line(spark):
     assert all(out[i] == (f"own {i}\nend {i}\nlast {i}", 1) for i in range(1, 4))
 
 
+def test_line_dedup_short_passages(spark):
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    rows, expected = [], {}
+    for k in range(2, 7):
+        for j in range(10):
+            passage = [line(100 // k) for _ in range(k)]
+            for copy in range(3):
+                before, after = [line(9) for _ in range(int(rng.integers(1, 6)))], [line(9) for _ in range(int(rng.integers(1, 6)))]
+                i, gap = len(rows), [""] if j == 0 else []  # an empty line inside goes with its passage
+                own = [*passage[:1], *gap, *passage[1:]]
+                rows.append((i, "\n".join([*before, *own, *after])))
+                expected[i] = (rows[-1][1], 0, 0) if not copy else ("\n".join([*before, *after]), 1, len(own))
+    rows += [(900, "lone line\n\nmine"), (901, "lone line\n\nother"), (902, "a b\n\n\n"), (903, "c d\n\n\n")]
+    expected |= {i: (x, 0, 0) for i, x in rows[-4:]}
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.text, r.n_removed, r.n_removed_lines) for r in got} == expected
+
+
 def test_forest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
