@@ -9,7 +9,8 @@ a place a word index.
 * Method: document frequencies of the licence words over *all* texts give their IDF;
   of each text its ``rare`` highest-IDF licence words are looked up in the positional
   index of the templates; word place minus template place is an alignment, kept when
-  two words vote for it (or the template's mandatory phrase does) and verified by the
+  two words vote for it (or the template's mandatory phrase does: a place of the phrase
+  counts as two votes, whatever the text's rarest words are) and verified by the
   template's mandatory key phrase at its place.  ``score`` is the best alignment's
   IDF-weighted share of template words found.
 
@@ -55,6 +56,12 @@ def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _key_at(template: str, key: str) -> int:
+    """The place of the mandatory phrase in its template."""
+    tokens, phrase = template.split(), key.split()
+    return next(i for i in range(len(tokens)) if tokens[i : i + len(phrase)] == phrase)
+
+
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 6) -> DataFrame:
     """Per row: ``id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     spark = documents.sparkSession
@@ -89,18 +96,25 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         base.append(F.when(at > 0, F.lit(label)))
     read = read.select("row", "id", "n_words", "coded", count.alias("n_base"), F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"), F.array_compact(F.array(*base)).alias("base"))
 
-    # The positional index: a posting for each template word.
-    postings = spark.createDataFrame([(_CODE[w], t, i) for t, (text_, _, _) in enumerate(TEMPLATES) for i, w in enumerate(text_.split())], "code string, template int, at int")
+    # The positional index: a posting for each template word, and one of two votes for
+    # each mandatory phrase, whose places get a mark in place of their first word.
+    marks = {t: chr(ord("a") + t) for t in range(len(TEMPLATES))}
+    index = [(_CODE[w], t, i, 1) for t, (text_, _, _) in enumerate(TEMPLATES) for i, w in enumerate(text_.split())]
+    index += [(marks[t], t, _key_at(text_, key), 2) for t, (text_, _, key) in enumerate(TEMPLATES)]
+    postings = spark.createDataFrame(index, "code string, template int, at int, weight int")
+    marked = F.col("coded")
+    for t, (_, _, key) in enumerate(TEMPLATES):  # no phrase overlaps another or itself
+        marked = F.replace(marked, F.lit(_coded(key)), F.lit(marks[t] + _coded(key)[1:]))
     files = read.where("coded IS NOT NULL").select("row", "coded")
     own = F.slice(F.filter(by_rarity, lambda c: F.contains(F.col("coded"), c)), 1, rare)
-    hits = files.withColumn("own", own)
-    hits = hits.select("row", "coded", F.explode(F.filter(F.transform(F.split("coded", ""), lambda c, i: F.when(F.array_contains(F.col("own"), c), F.struct(i.alias("place"), c.alias("code")))), lambda h: h.isNotNull())).alias("h"))
+    hits = files.withColumn("own", F.concat(own, _literals(marks.values()))).withColumn("marked", marked)
+    hits = hits.select("row", "coded", F.explode(F.filter(F.transform(F.split("marked", ""), lambda c, i: F.when(F.array_contains(F.col("own"), c), F.struct(i.alias("place"), c.alias("code")))), lambda h: h.isNotNull())).alias("h"))
     votes = (hits.join(F.broadcast(postings), F.col("h.code") == F.col("code")).withColumn("start", F.col("h.place") - F.col("at"))
-             .groupBy("row", "template", "start").agg(F.count("*").alias("votes"), F.first("coded").alias("coded")).where("votes > 1"))
+             .groupBy("row", "template", "start").agg(F.sum("weight").alias("votes"), F.first("coded").alias("coded")).where("votes > 1"))
     score, label, verified = F.lit(0.0), F.lit(None).cast("string"), F.lit(False)
     for t, (text_, name, key) in enumerate(TEMPLATES):
         tokens, here = text_.split(), F.col("template") == t
-        at = tokens.index(key.split()[0]) if tokens[tokens.index(key.split()[0]):][: len(key.split())] == key.split() else next(i for i in range(len(tokens)) if tokens[i : i + len(key.split())] == key.split())
+        at = _key_at(text_, key)
         char = lambda i: F.when(F.col("start") + i >= 0, F.substr("coded", F.col("start") + i + 1, F.lit(1)))
         verified = F.when(here, (F.col("start") + at >= 0) & (F.substr("coded", F.col("start") + at + 1, F.lit(len(key.split()))) == _coded(key))).otherwise(verified)
         got = sum((F.when(char(i) == _CODE[w], F.lit(idf[w])).otherwise(0.0) for i, w in enumerate(tokens)), F.lit(0.0))

@@ -98,6 +98,27 @@ def test_licenses(docs):
     assert got.where("doc_id = 14").first().labels == "mit"
 
 
+def test_licenses_of_several_notices(spark):
+    notices = ["Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License version 3", "All rights reserved.", "Released under the MIT License"]
+    rows = [(m, " x y ".join(n for j, n in enumerate(notices) if m >> j & 1)) for m in range(32)]
+    rows += [(32 + i, f"{x} all rights reserved of {n}") for i, (x, n) in enumerate(zip(["by nc cc", "gnu version", "apache mit", "2 0 nc", "this work"], notices))]
+    rows += [(40, " and ".join(reversed(notices)) * 3), (41, "gnu general public license version 3, mit license, cc by nc"), (42, None)] + [(50 + i, "under the license this is work") for i in range(9)]
+    got = {r.id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    words = {i: ALNUM.findall((x or "").translate(LOW)) for i, x in rows}
+    vocabulary = {w for t, _, _ in license_scan.TEMPLATES for w in t.split()}
+    idf = {w: math.log((1 + len(rows)) / (1 + sum(w in set(x) for x in words.values()))) + 0.01 for w in vocabulary}
+    for i, w in words.items():
+        labels, best = {name for p, name in license_scan.BASE.items() if any(w[j : j + len(p.split())] == p.split() for j in range(len(w)))}, 0.0
+        for template, name, key in license_scan.TEMPLATES:
+            t, k = template.split(), key.split()
+            at = next(j for j in range(len(t)) if t[j : j + len(k)] == k)
+            for j in range(len(w)):
+                if w[j : j + len(k)] == k:
+                    labels.add(name)
+                    best = max(best, sum(idf[x] for n, x in enumerate(t) if 0 <= j - at + n < len(w) and w[j - at + n] == x) / sum(idf[x] for x in t))
+        assert got[i] == (",".join(sorted(labels)), pytest.approx(best, abs=1e-9)), rows
+
+
 def test_lm(docs):
     got = lm_score.report(docs).collect()
     counts, seen = Counter(), defaultdict(list)
