@@ -16,7 +16,10 @@ canonical JSON: keys sorted, no white space.
 ``problems`` of a turn, sorted: ``orphan`` (a result without a call), ``unanswered``
 (a call without a result), ``duplicate`` (an identifier used by several calls or
 several results of a conversation), ``no id``, ``unknown tool``, ``missing:<name>``,
-``unexpected:<name>``, ``type:<name>``, ``cycle`` (its dependencies form a circle).
+``unexpected:<name>``, ``type:<name>``, ``cycle`` (it depends on itself; a turn that
+only comes after a circle has no such problem).  Dependencies inside a circle don't
+count for levels.  Chains of any length are followed: runs of turns with one dependency
+each by path doubling, turns with several in a round for each of them on a chain.
 
 Edge cases: null texts are empty messages; null roles stay null in the JSON; invalid
 JSON and JSON that isn't such an object is a message; repeated rows are kept; turns
@@ -38,7 +41,45 @@ def schema_table(spark, rows=SCHEMAS) -> DataFrame:
     return spark.createDataFrame(list(rows), "tool string, parameter string, type string, required boolean")
 
 
-def format_chats(conversations: DataFrame, schemas: DataFrame, depth: int = 32) -> DataFrame:
+def _levels(edges: DataFrame) -> DataFrame:
+    """``(row, level)`` of every row that can be placed, that is not in or after a circle
+    of ``edges(row, before)``: the length of the longest chain before it."""
+    counts = edges.groupBy("row").agg(F.count("*").alias("n"), F.min("before").alias("to"))
+    roots = edges.select(F.col("before").alias("row")).distinct().join(counts, "row", "left_anti")
+    # Rows with one row before them point beyond all such rows, twice as far each round.
+    jumps = Settled(counts.where("n = 1").select("row", "to", F.lit(1).cast("long").alias("far"))).df
+    for _ in range(jumps.count().bit_length() + 1):
+        beyond = jumps.select(F.col("row").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        both = Settled(jumps.join(beyond, "to", "left").select("row", F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved"))).df
+        jumps = both.drop("moved")
+        if not both.where("moved").take(1):
+            break
+    # Rows with several: placed when all rows they point to are.
+    several = edges.join(counts.where("n > 1").select("row"), "row").join(jumps.select(F.col("row").alias("before"), "to", "far"), "before", "left")
+    several = Settled(several.select("row", F.coalesce("to", "before").alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"))).df
+    placed = Settled(roots.select("row", F.lit(0).cast("long").alias("level"))).df
+    at = lambda table: table.join(placed.select(F.col("row").alias("to"), "level"), "to", "left")
+    while True:
+        new = Settled(at(several).groupBy("row").agg(F.max(F.col("level") + F.col("far")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("row", "level")).df
+        if not new.take(1):
+            break
+        placed, several = Settled(placed.unionByName(new)).df, Settled(several.join(new.select("row"), "row", "left_anti")).df
+    rest = at(jumps).where("level IS NOT NULL").select("row", (F.col("level") + F.col("far")).alias("level"))
+    return Settled(placed.unionByName(rest)).df
+
+
+def _circles(edges: DataFrame) -> DataFrame:
+    """``(row, before)``: pairs that reach each other, by doubling the paths."""
+    reach, known = Settled(edges.distinct()).df, -1
+    while (size := reach.count()) != known:
+        known = size
+        further = reach.select(F.col("row"), F.col("before").alias("via")).join(reach.select(F.col("row").alias("via"), "before"), "via").select("row", "before")
+        reach = Settled(reach.unionByName(further).distinct()).df
+    back = reach.select(F.col("before").alias("row"), F.col("row").alias("before"))
+    return Settled(reach.join(back, ["row", "before"])).df
+
+
+def format_chats(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     """Per turn: ``conv_id, turn, role, kind, call_id, partner, level, valid, problems, json``."""
     turns = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     variant = F.try_parse_json(F.when(F.ltrim("text").startswith("{"), F.col("text")))
@@ -64,20 +105,17 @@ def format_chats(conversations: DataFrame, schemas: DataFrame, depth: int = 32)
     needs = linked.where("kind = 'call'").select("row", "conv_id", F.explode("after").alias("call_id"))
     by_need = needs.join(first.select("conv_id", "call_id", F.col("result.row").alias("before")), ["conv_id", "call_id"]).select("row", "before")
     edges = Settled(by_id.unionByName(by_need).distinct()).df
-    nodes = edges.select("row").unionByName(edges.select(F.col("before").alias("row"))).distinct()
-    levels = Settled(nodes.select("row", F.lit(0).alias("level"))).df
-    cyclic = levels.where("false").select("row")
+    levels = edges.select("row", F.lit(0).cast("long").alias("level")).where("false")
+    cyclic = levels.select("row")
     if edges.take(1):
-        for i in range(1, depth + 1):
-            up = edges.join(levels.select(F.col("row").alias("before"), "level"), "before").groupBy("row").agg((F.max("level") + 1).alias("up"))
-            new = Settled(levels.join(up, "row", "left").select("row", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"))).df
-            moved = new.join(levels.withColumnRenamed("level", "old"), "row").where("level > old").select("row")
-            still = moved.take(1)
-            levels = new
-            if not still:
-                break
-        else:
-            cyclic = Settled(levels.where(F.col("level") >= depth).select("row")).df
+        levels = _levels(edges)
+        stuck = edges.join(levels, "row", "left_anti").join(levels.select(F.col("row").alias("before")), "before", "left_anti").select("row", "before")
+        if stuck.take(1):
+            pairs = _circles(stuck)
+            cyclic = pairs.select("row").distinct()
+            inside = pairs.where("row <> before")
+            free = edges.where("row <> before").join(inside, ["row", "before"], "left_anti")
+            levels = _levels(Settled(free).df)
 
     # Arguments against the schemas.
     calls = read.where("kind = 'call'").select("row", "name", "arguments")
@@ -109,7 +147,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame, depth: int = 32)
             .when(is_result, F.concat(F.lit('{"content":'), "content", F.lit(',"id":'), text("call_id"), F.lit(',"role":'), text("role"), F.lit("}")))
             .otherwise(F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.coalesce("text", F.lit("")).cast("variant")), F.lit('""')), F.lit(',"role":'), text("role"), F.lit("}"))))
     return out.select("conv_id", "turn", "role", "kind", "call_id", F.when(is_call, F.col("result_turn")).when(is_result, F.col("call_turn")).alias("partner"),
-                      F.coalesce("level", F.lit(0)).alias("level"), (F.size(problems) == 0).alias("valid"), problems.alias("problems"), json.alias("json"))
+                      F.coalesce("level", F.lit(0)).cast("int").alias("level"), (F.size(problems) == 0).alias("valid"), problems.alias("problems"), json.alias("json"))
 
 
 def report(conversations: DataFrame) -> DataFrame:

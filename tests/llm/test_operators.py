@@ -238,6 +238,31 @@ def test_tool_calls(spark):
     assert out[2, 1].problems == ["unanswered", "unknown tool"] and out[1, 0].json == '{"content":"hello \\"you\\"","role":"user"}' and out[2, 0].json == '{"content":"","role":null}'
 
 
+def test_tool_calls_long_chains_and_circles(spark):
+    import json
+
+    def turns(conv, after):
+        """A call and its result for each id of ``after``."""
+        out = []
+        for i, (name, before) in enumerate(after.items()):
+            out.append((conv, 2 * i, "assistant", json.dumps({"call": {"id": name, "name": "search", "arguments": {"query": "x"}, "after": before}})))
+            out.append((conv, 2 * i + 1, "tool", json.dumps({"result": {"id": name, "content": 1}})))
+        return out
+
+    chain = {str(i): [str(i - 1)] if i else [] for i in range(40)}
+    wide = {str(i): [str(j) for j in (i - 1, i - 2) if j >= 0] for i in range(4)} | {"last": ["0", "3"]}
+    circle = {"a": ["c", "free"], "b": ["a"], "c": ["b"], "d": ["c", "long"], "e": ["d"], "x": ["e", "y"], "y": ["x"], "z": ["z"], "free": [], "long": ["free"]}
+    rows = turns(1, chain) + turns(2, wide) + turns(3, circle)
+    got = {(r.conv_id, r.turn): r for r in tool_calls.report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert all(got[1, t].level == t and got[1, t].valid for t in range(80))
+    assert [got[2, t].level for t in range(10)] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] and all(got[2, t].valid for t in range(10))
+    for i, name in enumerate(circle):
+        for t in (2 * i, 2 * i + 1):
+            assert got[3, t].problems == (["cycle"] if name in "abcxyz" else []), name
+    order = {name: got[3, 2 * i].level for i, name in enumerate(circle)}
+    assert order["free"] == 0 and order["long"] == 2 and order["d"] >= 4 and order["e"] == order["d"] + 2 and order["x"] > order["e"]
+
+
 def test_learned_operators_on_corners(spark, docs):
     found = {r.doc_id: r.lang_pred for r in language_id.report(docs).collect()}
     assert found[1] == found[2] == found[3] == found[4] == "und" and found[5] != "und"
