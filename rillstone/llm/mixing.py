@@ -6,8 +6,12 @@
 2. Every document gets posteriors over the domains (rounded to three decimals).
 3. Non-negative document rates r minimise the squared difference between the expected
    domain totals ``sum_i r_i * tokens_i * p_ik`` and the targets, by projected gradient
-   from r = 1 (steps in the token-weighted metric, exact largest-curvature step size,
-   Nesterov momentum restarted when the error grows).  A document's update depends on
+   from r = 1 (steps in the token-weighted metric, the error preconditioned by the
+   inverse of the domains' second moments, so that rare domains converge as fast as
+   common ones; Nesterov momentum restarted when the error grows).  It goes on until the
+   rates' error is below ``TOLERANCE``; where targets can't be met (``STEPS`` steps
+   without getting 1 % closer), it warns with the error that is left, which is then
+   the least in the preconditioned metric.  A document's update depends on
    its posteriors alone, so tokens are first added up by distinct posterior vector, and
    each step is one distributed aggregate that returns a number per domain; rates of all
    documents are then one fold over the collected error vectors.
@@ -23,7 +27,9 @@ columns named like the added ones are replaced.
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,12 +115,12 @@ def with_posteriors(documents: DataFrame, model: Classifier, text_col: str = "te
     return read.withColumn("posteriors", share).drop("_variety", "_seen", "_log", "_e")
 
 
-def _state(errors: list[list[float]], momenta: list[float], step: float, column: str = "posteriors") -> Column:
+def _state(errors: list[list[float]], momenta: list[float], start: Column | None = None, column: str = "posteriors") -> Column:
     """After the given steps, as a fold: the rate ``r`` and the extrapolated point ``at``."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("at"))
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("at")) if start is None else start
     if not errors:
         return start
-    past = F.array(*[F.struct(F.array(*[F.lit(float(step * x)) for x in e]).alias("e"), F.lit(float(m)).alias("m")) for e, m in zip(errors, momenta)])
+    past = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in e]).alias("e"), F.lit(float(m)).alias("m")) for e, m in zip(errors, momenta)])
     k = len(errors[0])
 
     def fold(state, now):
@@ -140,26 +146,32 @@ def fit_rates(weighed: DataFrame, domains: list[str], targets: dict[str, float],
     scale = sum(wanted)
     wanted = [w / scale for w in wanted] if scale else have
     matrix = [[float(first[f"m{i}_{j}"] or 0) / total for j in range(k)] for i in range(k)]
-    v = [1.0] * k  # power iteration: the largest curvature
-    for _ in range(100):
-        v = [sum(matrix[i][j] * v[j] for j in range(k)) for i in range(k)]
-        size = math.sqrt(sum(x * x for x in v)) or 1.0
-        v = [x / size for x in v]
-    step = 1.0 / max(size, 1e-9)
-    errors, momenta, best, age = [], [], math.inf, 1.0
-    for _ in range(steps):
-        now = cells.withColumn("r", _state(errors, momenta, step)["at"]).agg(*[F.sum(F.col("n") * F.col("r") * p[i]) for i in range(k)]).first()
-        error = [float(now[i]) / total - wanted[i] for i in range(k)]
-        size = math.sqrt(sum(e * e for e in error))
-        if size <= tolerance:
+    inverse = np.linalg.pinv(np.array(matrix), rcond=1e-9, hermitian=True)  # with it the largest curvature is 1
+    state = Settled(cells.select("posteriors", "n", F.lit(1.0).alias("r"), F.lit(1.0).alias("at"))).df
+    errors, momenta, best, age, done = [], [], math.inf, 1.0, 0
+    closest, since = math.inf, 0
+    while True:
+        here = state.select("posteriors", "n", _state(errors[done:], momenta[done:], F.struct("r", "at")).alias("s")).select("posteriors", "n", "s.*")
+        if len(errors) - done == 20:  # written, so that a step's cost doesn't grow
+            state, done = Settled(here).df, len(errors)
+            here = state
+        now = here.agg(*[F.sum(F.col("n") * F.col(c) * p[i]) for c in ("r", "at") for i in range(k)]).first()
+        left, error = ([float(now[j + i]) / total - wanted[i] for i in range(k)] for j in (0, k))
+        off, size = (math.sqrt(sum(e * e for e in x)) for x in (left, error))
+        if off <= tolerance:
+            break
+        closest, since = (off, 0) if off < 0.99 * closest else (closest, since + 1)
+        move = inverse @ error
+        if since >= steps or np.abs(move).max() < 1e-12:
+            warnings.warn(f"mixing: targets are missed by {off:.2g}: " + ", ".join(f"{d} {e:+.2g}" for d, e in zip(domains, left)), stacklevel=2)
             break
         if size > best:
             age = 1.0
         best, older = min(best, size), age
         age = (1 + math.sqrt(1 + 4 * age * age)) / 2
-        errors.append(error)
+        errors.append(move.tolist())
         momenta.append((older - 1) / age)
-    return _state(errors, momenta, step)["r"]
+    return _state(errors, momenta)["r"]
 
 
 def mix(documents: DataFrame, domains: DataFrame, targets: dict[str, float] | None = None, **how) -> DataFrame:

@@ -224,6 +224,25 @@ def test_mixing_reaches_targets(spark):
     assert sums[1] / sums[0] == pytest.approx(0.5, abs=1e-3) and sums[2] >= 0 and out.count() == 202
 
 
+@pytest.mark.parametrize("cells", [
+    {(1.0, 0.0, 0.0): 950, (0.0, 0.048, 0.0): 0, (0.0, 1.0, 0.0): 48, (0.0, 0.0, 1.0): 2}, {(1.0, 0.0, 0.0): 970, (0.0, 1.0, 0.0): 29, (0.0, 0.0, 1.0): 1},
+    {(0.999, 0.001, 0.0): 9000, (0.9, 0.08, 0.02): 700, (0.1, 0.9, 0.0): 200, (0.6, 0.0, 0.4): 50, (0.3, 0.1, 0.6): 3, (0.02, 0.0, 0.98): 1}])
+def test_mixing_reaches_targets_of_rare_domains(spark, cells):
+    wanted = {"clean": 0.90, "low": 0.06, "toxic": 0.04}
+    weighed = spark.createDataFrame([(list(p), n) for p, n in cells.items()], "posteriors array<double>, n_tokens long")
+    rows = weighed.withColumn("rate", mixing.fit_rates(weighed, list(wanted), wanted)).collect()
+    total = sum(cells.values())
+    assert all(r.rate >= 0 for r in rows)
+    for i, share in enumerate(wanted.values()):
+        assert sum(r.rate * r.n_tokens * r.posteriors[i] for r in rows) / total == pytest.approx(share, abs=1.1e-4)
+
+
+def test_mixing_says_what_it_misses(spark):
+    weighed = spark.createDataFrame([([0.5, 0.5], 10), ([0.5, 0.5], 7)], "posteriors array<double>, n_tokens long")
+    with pytest.warns(UserWarning, match="targets are missed by 0.57"):
+        mixing.fit_rates(weighed, ["clean", "low"], {"clean": 0.9, "low": 0.1})
+
+
 def test_tool_calls(spark):
     rows = [
         (1, 0, "user", "hello \"you\""), (1, 1, "assistant", '{"call": {"id": "a", "name": "search", "arguments": {"query": "x", "limit": "3"}}}'),
