@@ -45,10 +45,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten words in a row with a benchmark item go."""
+    """Documents that share ten words in a row with a benchmark item go: each row for its
+    own text, whether or not it has an id or shares it."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.report(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    row = F.concat_ws(":", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1)))
+    docs = docs.select(*COLUMNS, row.alias("row_key"))
+    found = decontaminate.decontaminate(docs.select("row_key", "text"), benchmark, id_col="row_key")
+    hit = found.where(F.size("items") > 0).select(F.col("id").alias("row_key")).distinct()
+    return docs.join(hit, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -313,3 +313,14 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     spark.createDataFrame([(5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     ids = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert not ids & {1, 2, 3, 4, 9, 10} and {5, 6} <= ids and 8 not in ids
+
+
+def test_leaks_go_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    leak, clean = f"before {ITEM} after", "a clean text of its own"
+    rows = [(None, leak), (None, clean), (None, None), (1, leak), (1, clean), (2, leak), (2, leak), (3, clean), (3, clean)]
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).select("doc_id", "text")
+    assert rows_of(left) == Counter(r for r in rows if r[1] != leak)
