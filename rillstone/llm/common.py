@@ -79,11 +79,18 @@ def bloom_size(n: int, most: int = 1 << 26) -> int:
     return min(most, 1 << max(16, int(16 * max(n, 1) - 1).bit_length()))
 
 
-def bloom(keys: DataFrame, size: int) -> np.ndarray:
+def merged(parts: DataFrame, merge: Callable, schema: str, fan: int = 16) -> DataFrame:
+    """``parts`` (rows of equal, bounded size) brought down to one row by two shuffled
+    rounds of ``merge``, a ``mapInArrow`` function that makes one row of a task's rows."""
+    return parts.repartition(fan).mapInArrow(merge, schema).repartition(1).mapInArrow(merge, schema)
+
+
+def bloom(keys: DataFrame, size: int, fan: int = 16) -> np.ndarray:
     """A Bloom filter (uint8 array of ``size`` / 8) of the one long column of ``keys``.
 
-    Each task fills a filter of its own; they are OR-ed in a streaming pass, so
-    neither a task nor the driver holds more than a few of them.
+    The keys themselves are dealt to ``fan`` tasks, each of which fills a filter of its
+    own; one task ORs those ``fan`` filters, so neither it nor the driver reads more than
+    ``fan`` of them, however many tasks made the keys.
     """
 
     def local(batches):
@@ -94,14 +101,14 @@ def bloom(keys: DataFrame, size: int) -> np.ndarray:
                 own[place] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], ["bits"])
 
-    def merged(batches):
+    def joined(batches):
         own = np.zeros(size // 8, np.uint8)
         for batch in batches:
             for value in batch.column(0):
                 own |= np.frombuffer(value.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bits"])
 
-    rows = keys.mapInArrow(local, "bits binary").coalesce(1).mapInArrow(merged, "bits binary").collect()
+    rows = keys.repartition(fan).mapInArrow(local, "bits binary").repartition(1).mapInArrow(joined, "bits binary").collect()
     return np.frombuffer(rows[0][0], np.uint8) if rows else np.zeros(size // 8, np.uint8)
 
 
@@ -113,6 +120,30 @@ def in_bloom(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return hit
 
 
+def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """``train`` of the whole of ``sample`` (rows of a stated bound), run in one task, so
+    that the driver gets no more than what it returns (None for an empty sample)."""
+    import pickle
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            made = pickle.dumps(train(pa.Table.from_batches(batches)))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
+
+    rows = sample.repartition(1).mapInArrow(run, "made binary").collect()
+    return pickle.loads(rows[0][0]) if rows else None
+
+
+def binary_rows(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Binary values of ``width`` float32 numbers as the rows of a matrix."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, width))
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.float32)
+
+
 def held_out(column: str, modulus: int, rest: int) -> Column:
     """Whether crc32 of the id's text leaves ``rest`` modulo ``modulus``."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == rest, F.lit(False))
