@@ -7,11 +7,14 @@ smallest sum of logistic losses, each bit weighted by its training accuracy.  A
 text whose two best languages are closer than ``gap`` in probability is flagged
 ambiguous.
 
-Learning uses at most ``per_language`` rows of each of the ``languages`` most
-frequent ones (lowest hashes of the id); texts are always read whole.
-
-Edge cases: a null text or one without a letter is ``und`` with score 0; rows
-whose language is null teach nothing; with one known language every text with a
+Learning uses at most ``rows`` rows, dealt evenly to all languages and at most
+``per_language`` each (distinct pairs of id and text with the lowest hashes; a threshold on
+the hash leaves a few times that many, before anything is sorted).  Every language is
+learned: the number of bits grows with the logarithm of their number.  The model is fitted
+in one task and only its weights reach the driver; texts are always read whole.
+
+Edge cases: a null text or one without a letter is ``und`` with score 0; a
+letter is a character for which ``str.isalpha`` holds; rows whose language is null teach nothing; with one known language every text with a
 letter gets it; with none every text is ``und``; null ids count as not held out
 but teach nothing; repeated rows are kept; an empty table gives an empty result.
 """
@@ -19,7 +22,6 @@ but teach nothing; repeated rows are kept; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import held_out, map_arrow
+from .common import binary_rows, fitted, held_out, map_arrow
 
 BUCKETS = 4096
-PER_LANGUAGE, LANGUAGES = 600, 64
+PER_LANGUAGE, ROWS = 600, 9600
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_LETTER = ((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122) & (np.arange(256) < 128)
 
 
@@ -57,7 +58,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
     found = total[offsets[1:]] > total[offsets[:-1]]
     for r in np.flatnonzero(~found):
-        found[r] = bool(_LETTER.search(data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")))
+        found[r] = any(c.isalpha() for c in data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace"))
     return found
 
 
@@ -68,7 +69,7 @@ def _histograms(batch: pa.RecordBatch):
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             counts = np.bincount(pair[a:b], minlength=BUCKETS) + np.bincount(triple[a:b], minlength=BUCKETS)
             out.append((counts / max(1, 2 * (b - a))).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)).cast(pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)).cast(pa.string()), pa.array(out, pa.binary()), batch.column(2).slice(at, len(out))], ["lang", "x", "h"])
 
 
 def codewords(n: int, seed: int = 0) -> np.ndarray:
@@ -105,10 +106,12 @@ class Model:
         share = np.bincount(y, minlength=len(names)) / len(y)
         row = np.sqrt(1 / (share[y] * len(names)))  # every language weighs the same
         target = self.code[y]
-        z *= row[:, None].astype(x.dtype)  # in place: the sample is the driver's largest object
-        gram = (z @ z.T).astype(np.float64)
-        gram[np.diag_indices(len(y))] += ridge
-        w = z.T @ np.linalg.solve(gram, (target - target.mean(0)) * row[:, None]).astype(x.dtype)
+        z *= row[:, None].astype(x.dtype)  # in place: the sample is the task's largest object
+        wanted = ((target - target.mean(0)) * row[:, None]).astype(x.dtype)
+        few = len(y) <= BUCKETS  # the smaller of the two equal forms of ridge regression
+        gram = (z @ z.T if few else z.T @ z).astype(np.float64)
+        gram[np.diag_indices(len(gram))] += ridge
+        w = z.T @ np.linalg.solve(gram, wanted).astype(x.dtype) if few else np.linalg.solve(gram, z.T @ wanted).astype(x.dtype)
         del z, gram
         self.bias = target.mean(0) - middle @ w
         self.weights = w / spread[:, None]
@@ -137,32 +140,36 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
-def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    """Equally long binary values as the rows of a float32 matrix, without Python objects."""
-    parts = [np.frombuffer(c.buffers()[2], np.uint8)[4 * BUCKETS * c.offset :][: 4 * BUCKETS * len(c)] for c in column.chunks if len(c)]
-    return (np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else np.zeros(0, np.uint8)).view(np.float32).reshape(-1, BUCKETS)
-
-
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id",
-        per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Learn from a bounded sample: ``per_language`` rows of each language."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    top = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).select(lang_col)
-    known = sorted(r[0] for r in top.collect())
+        per_language: int = PER_LANGUAGE, rows: int = ROWS) -> Model:
+    """Learn from a bounded sample: ``per_language`` rows of each language, ``rows`` in all."""
+    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
+    known = sorted(sizes)
     if not known:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0, int))
-    order = Window.partitionBy(lang_col).orderBy("h", id_col)
-    chosen = (rows.where(F.col(lang_col).isin(known)).select(lang_col, id_col, F.xxhash64(id_col).alias("h"))
-              .withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select(F.col(id_col).alias("chosen")))
-    ids = [r[0] for r in chosen.collect()]  # at most per_language * languages
-    sample = rows.where(F.col(id_col).isin(ids)).select(lang_col, text_col) if len(ids) < 10_000 else rows.join(F.broadcast(chosen.distinct()), rows[id_col] == F.col("chosen"), "left_semi").select(lang_col, text_col)
-    table = map_arrow(sample, _histograms, "lang string, x binary").orderBy("lang", F.xxhash64("x")).toArrow()
-    x = _rows(table["x"])
-    return Model(known, x, np.array([known.index(v) for v in table["lang"].to_pylist()]))
+    each = max(1, min(per_language, rows // len(known)))
+    spark = labelled.sparkSession
+    # Hashes are evenly spread: below this one are a few times the wanted number of rows.
+    below = [(name, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (3 * each + 60) / max(1, n))))) for name, n in sizes.items()]
+    near = usable.join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang").where("h <= below")
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = near.select("lang", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).select("lang", "h")
+    sample = near.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text", "h")  # chosen: at most each * languages
+
+    def train(table: pa.Table) -> Model:
+        names = np.array(table["lang"].to_pylist())
+        order = np.lexsort((table["h"].to_numpy(), names))
+        found = sorted(set(names.tolist()))
+        return Model(found, binary_rows(table["x"], BUCKETS)[order], np.searchsorted(found, names[order]))
+
+    return fitted(map_arrow(sample, _histograms, "lang string, x binary, h long"), train)
 
 
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", gap: float = 0.05) -> DataFrame:
     """``documents``' rows with ``lang_pred``, ``score`` and ``ambiguous`` added."""
+    documents = documents.drop("lang_pred", "score", "ambiguous")
     shipped = documents.sparkSession.sparkContext.broadcast(model)
     place, names_out = documents.columns.index(text_col), [*documents.columns, "lang_pred", "score", "ambiguous"]
     added = "lang_pred string, score double, ambiguous boolean"

@@ -1,21 +1,24 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (labelled 1) and unlabelled web texts train a small network
+Trusted positives (labelled 1) and texts whose labels aren't looked at (a sample of all
+training documents, labelled or not) train a small network
 that minimises the non-negative unbiased risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 with logistic losses.  The class prior is estimated from the same two samples: it
 is at most U(A) / P(A) for every set A, so the least such ratio over the upper
-tails of a cross-fitted positive-against-unlabelled score is taken.  Known
+tails of a cross-fitted positive-against-unlabelled score is taken.  Labels of
 negatives are not used.
 
 Features of a whole text: frequencies of trigrams of byte classes, shares of
 repeated words, trigrams and lines, and means.  Learning uses at most ``POSITIVE``
-labelled rows and ``UNLABELLED`` rows (lowest hashes of the id).
+labelled rows and ``UNLABELLED`` rows (distinct pairs of id and text, lowest hashes; a
+threshold leaves a few times that many before anything is sorted).  The network is fitted in
+one task and only its weights reach the driver.
 
 Edge cases: a null text counts as empty and is scored like one; rows with null
-ids teach nothing; without positives or unlabelled rows every score is 0.5;
+ids teach nothing; with fewer than two positives or texts every score is 0.5;
 repeated rows are kept; a document labelled more than once is positive if any of
 its labels is 1; an empty table gives an empty result.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordbytes as wb
-from .common import held_out, map_arrow
+from .common import binary_rows, fitted, held_out, map_arrow
 
 POSITIVE, UNLABELLED = 5000, 8000
 THRESHOLD = 0.7
@@ -69,7 +72,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _featured(batch: pa.RecordBatch):
     for at, offsets, data in wb.runs(batch.column(1)):
         x = features(data, offsets)
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).slice(at, len(x))], ["positive", "x", "h"])
 
 
 class Network:
@@ -122,13 +125,17 @@ class Network:
         return np.tanh(self._scaled(x) @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3][0]
 
 
-def class_prior(xp: np.ndarray, xu: np.ndarray) -> float:
-    """An estimate of the share of positives among the unlabelled rows."""
+def class_prior(xp: np.ndarray, xu: np.ndarray, hp: np.ndarray, hu: np.ndarray) -> float:
+    """An estimate of the share of positives among the unlabelled rows.  Halves are dealt
+    by the rows' hashes, so a text that is in both samples is in the same half of both."""
     p, u = [], []
     for fold in range(2):  # each half is scored by a network that has not seen it
-        own = Network(xp[fold::2], xu[fold::2], 0.5, "plain", epochs=10)
-        p.append(own.margin(xp[1 - fold :: 2]))
-        u.append(own.margin(xu[1 - fold :: 2]))
+        mine, other = (hp % 2 == fold, hu % 2 == fold), (hp % 2 != fold, hu % 2 != fold)
+        if not all(len(x) for x in (xp[mine[0]], xu[mine[1]], xp[other[0]], xu[other[1]])):
+            return 0.5
+        own = Network(xp[mine[0]], xu[mine[1]], 0.5, "plain", epochs=10)
+        p.append(own.margin(xp[other[0]]))
+        u.append(own.margin(xu[other[1]]))
     p, u = np.sort(np.concatenate(p)), np.sort(np.concatenate(u))
     cuts = np.quantile(p, np.linspace(0.02, 0.6, 59))
     ratio = (len(u) - np.searchsorted(u, cuts)) / len(u) / ((len(p) - np.searchsorted(p, cuts)) / len(p))
@@ -137,10 +144,10 @@ def class_prior(xp: np.ndarray, xu: np.ndarray) -> float:
 
 
 class Model:
-    def __init__(self, xp: np.ndarray, xu: np.ndarray):
+    def __init__(self, xp: np.ndarray, xu: np.ndarray, hp: np.ndarray, hu: np.ndarray):
         self.net = None
         if len(xp) > 1 and len(xu) > 1:
-            self.prior = class_prior(xp, xu)
+            self.prior = class_prior(xp, xu, hp, hu)
             self.net = Network(xp, xu, self.prior, "pu")
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -149,23 +156,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.net.margin(x.astype(np.float64)), -30, 30)))
 
 
+def _lowest(rows: DataFrame, most: int) -> DataFrame:
+    """``most`` distinct rows of lowest hash ``h``."""
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    below = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, (1.5 * most + 60) / max(1, n))))
+    return rows.where(F.col("h") <= below).dropDuplicates(["h"]).orderBy("h").limit(most)
+
+
 def fit(documents: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> Model:
-    """Learn from the given rows: positives are labelled 1, unlabelled have no label."""
-    marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = documents.select("doc_id").where("doc_id IS NOT NULL")
-    p = ids.join(marked.where("quality = 1"), "doc_id", "left_semi").distinct().orderBy(*order).limit(positive)
-    u = ids.join(marked, "doc_id", "left_anti").distinct().orderBy(*order).limit(unlabelled)
-    chosen = {r[0]: r[1] for r in p.withColumn("positive", F.lit(True)).unionByName(u.withColumn("positive", F.lit(False))).collect()}  # at most positive + unlabelled
-    if not chosen:
-        return Model(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)))
-    spark = documents.sparkSession
-    picked = F.broadcast(spark.createDataFrame(list(chosen.items()), "doc_id long, positive boolean"))
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("positive", "text")
-    table = map_arrow(sample, _featured, "positive boolean, x binary").orderBy("positive", F.xxhash64("x")).toArrow()
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
-    yes = np.array(table["positive"].to_pylist(), bool)
-    return Model(x[yes], x[~yes])
+    """Learn from the given rows: positives are labelled 1; the unlabelled sample is of all."""
+    trusted = labels.where("doc_id IS NOT NULL AND quality = 1").select("doc_id").distinct()
+    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    p = _lowest(rows.join(trusted, "doc_id", "left_semi"), positive).withColumn("positive", F.lit(True))
+    u = _lowest(rows, unlabelled).withColumn("positive", F.lit(False))
+    sample = p.unionByName(u).select("positive", "text", "h")
+
+    def train(table: pa.Table) -> Model:
+        yes = np.array(table["positive"].to_pylist(), bool)
+        h = table["h"].to_numpy()
+        order = np.lexsort((h, yes))
+        x, yes, h = binary_rows(table["x"], WIDTH)[order].astype(np.float64), yes[order], h[order]
+        return Model(x[yes], x[~yes], h[yes], h[~yes])
+
+    return fitted(map_arrow(sample, _featured, "positive boolean, x binary, h long"), train) or Model(*[np.zeros((0, WIDTH))] * 2, *[np.zeros(0, np.int64)] * 2)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
