@@ -15,6 +15,8 @@ from rillstone.llm.common import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+FEW = 200_000
+
 #: SQL can't express the learned stages; tests compare them with plain loops.
 ORACLE_SQL = None
 
@@ -51,8 +53,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.concat_ws(":", F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id", F.lit(1)))
     docs = docs.select(*COLUMNS, row.alias("row_key"))
     found = decontaminate.decontaminate(docs.select("row_key", "text"), benchmark, id_col="row_key")
-    hit = found.where(F.size("items") > 0).select(F.col("id").alias("row_key")).distinct()
-    return docs.join(hit, "row_key", "left_anti").select(*COLUMNS)
+    hit = settle(found.where(F.size("items") > 0).select(F.col("id").alias("row_key")).distinct())
+    few = hit.count() <= FEW  # about 60 bytes each; more are joined by a shuffle
+    return docs.join(F.broadcast(hit) if few else hit, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
