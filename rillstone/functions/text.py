@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .vocabulary import EN_SUFFIXES, RU_SUFFIXES, STOP
+from .vocabulary import EN_SUFFIXES, HTML_BREAK, HTML_DROPPED, HTML_TAG, LINE_END, RU_SUFFIXES, SPACE, STOP
 
 WORD = "[A-Za-zА-Яа-яЁё0-9]+"
 
@@ -34,7 +34,13 @@ def tokens(d, table: str, key: str, text: str = "text") -> str:
 
 
 def strip(d, c: str) -> str:
-    return d.rx_sub(c, "^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$", "")
+    """Without white space (of Unicode) at both ends."""
+    return d.rx_sub(c, f"^{SPACE}+|{SPACE}+\\z", "")
+
+
+def lines(d, c: str) -> str:
+    """Lines of a text, without an empty one after the last line end; an empty text has none."""
+    return f"CASE WHEN coalesce({c}, '') = '' THEN {d.none()} ELSE {d.rx_split(d.rx_sub(c, f'(?:{LINE_END})' + chr(92) + 'z', ''), LINE_END)} END"
 
 
 def spaced_words(d, c: str) -> str:
@@ -57,9 +63,8 @@ def sentences(d, c: str, least: int = 8) -> str:
 
 def html_lines(d, c: str) -> str:
     """Lines of a page: scripts and styles out, block ends to line breaks, tags out, entities decoded."""
-    x = d.rx_sub(c, "(?s)<script.*?</script>|<style.*?</style>", "")
-    x = d.rx_sub(x, "<(br|/p|/div|/h[1-6]|/li)[^>]*>", "@NL@")
-    x = f"replace({d.rx_sub(x, '<[^>]+>', '')}, '@NL@', chr(10))"
+    x = d.rx_sub(d.rx_sub(c, HTML_DROPPED, ""), HTML_BREAK, "@NL@")
+    x = f"replace({d.rx_sub(x, HTML_TAG, '')}, '@NL@', chr(10))"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     return d.split(x, "chr(10)")

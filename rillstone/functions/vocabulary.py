@@ -23,3 +23,33 @@ EN_SUFFIXES = ("ing", "ies", "ed", "es", "s")
 # Lines that never belong to a specification.
 JUNK_LINES = ("Share", "Subscribe", "open it", "Copy link", "/")
 JUNK_PARTS = ("Accept all", "More options", "cookie", "Cookie", "Unable to run in the current browser", "Privacy Policy", "Terms of Service")
+
+# Tags whose content goes, tags that end a line, any tag.
+HTML_DROPPED, HTML_BREAK, HTML_TAG = "(?s)<script.*?</script>|<style.*?</style>", "<(br|/p|/div|/h[1-6]|/li)[^>]*>", "<[^>]+>"
+
+# White space and line ends as text libraries see them.
+SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+# Type names that mark a copied project, names that say nothing, file names that must be equal.
+BLACKLIST = """
+Glyph GlyphPen GlyphShape GlyphKind GlyphStyle GlyphLayer GlyphMetrics GlyphBadge ScreenScrollView DefaultsVault Haptics
+Typography TypeRole SignalKit Ink Workspace FramePanel RingGauge ActionKey CoverMotif CoverArt AppBackground ColorPalette
+DataManager CustomTabBar SectionCard PrimaryButton ContentView HomeView LoaderView OnboardingView SettingsView LoadingView RootView
+""".split()
+GENERIC = """
+CodingKeys Tone Point Link Kind Style Layer Metrics Section Row Tab Card Badge Item Entry State Mode Phase Step Stage Level
+Constants Layout Theme Tag Note Filter Sort Field Unit Size Axis Direction Result Error Config Settings Snapshot
+""".split()
+FILES_ALLOWED = ("Glyphs.swift", "CoverArt.swift")
+
+# Patterns of the gates over source lines.
+STUBS = "(?i)lorem ipsum|placeholder text|coming soon…|not implemented|TODO:|FIXME"
+FORCED = r"as! |try! |[a-zA-Z0-9_\]]!\.|[a-zA-Z0-9_]!\)|= *[a-zA-Z0-9_.]+!$"
+UNFINISHED = r"(?i)\x22[^\x22]*\b(beta|alpha|trial version|demo version)\b"
+VERSION_LITERAL = r"\x22[0-9]+\.[0-9]+\.[0-9]+\x22"
+NETWORK = r"URLSession|WKWebView|SFSafariViewController|URL\(string: *\x22http|import Firebase|import StoreKit|import AppsFlyer|import OneSignal|import Adjust|import Amplitude"
+REGIONAL = r"(?i)Locale\.current|TimeZone\(|#if RELEASE"
+PERMISSION = "INFOPLIST_KEY_NS[A-Za-z]*UsageDescription"
+SLOW_ART = r"\.blur\(|blendMode\(|repeatForever"
+SATURATED = "(?i)dating|flashlight|wallpaper|fortune|horoscope|timer|sound effect|drinking|[Зз]накомств|[Фф]онарик|[Оо]бои|[Гг]адани|[Гг]ороскоп|[Тт]аймер"

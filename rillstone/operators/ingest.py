@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as t
-from ..functions.vocabulary import JUNK_LINES, JUNK_PARTS
+from ..functions.vocabulary import HTML_BREAK, HTML_DROPPED, HTML_TAG, JUNK_LINES, JUNK_PARTS
 from ..plans.registry import query
 
 
@@ -30,12 +30,12 @@ SELECT page_id, n_lines, n_screens, CAST(length(body) AS BIGINT) AS n_chars, {na
 
 def markdown_lines(d) -> str:
     """CTE ``md(doc, pos, line)``: pages as Markdown (headings and bullets from tags)."""
-    x = d.rx_sub("html", "(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
+    x = d.rx_sub("html", HTML_DROPPED + "|<!--.*?-->", "")
     x = d.rx_sub(x, "<h1[^>]*>", "@NL@# ")
     x = d.rx_sub(x, "<h[23][^>]*>", "@NL@## ")
     x = d.rx_sub(x, "<li[^>]*>", "@NL@- ")
-    x = d.rx_sub(x, "<(br|/p|/div|/h[1-6]|/li)[^>]*>", "@NL@@NL@")
-    x = f"replace({d.rx_sub(x, '<[^>]+>', '')}, '@NL@', chr(10))"
+    x = d.rx_sub(x, HTML_BREAK, "@NL@@NL@")
+    x = f"replace({d.rx_sub(x, HTML_TAG, '')}, '@NL@', chr(10))"
     return f"md AS (SELECT page_id AS doc, pos, raw AS line FROM (SELECT page_id, {d.numbered(d.split(x, 'chr(10)'), 'raw')} FROM pages) x)"
 
 
@@ -82,4 +82,8 @@ def chunk_heading_path(d):
 
 @query
 def chunk_size_stats(d):
-    return f"WITH {markdown_lines(d)}, {chunked(d)}, ranked AS (SELECT length(text) AS size, row_number() OVER (ORDER BY length(text)) - 1 AS pos, count(*) OVER () AS n FROM chunks) SELECT CAST(max(n) AS BIGINT) AS n_chunks, CAST(max(CASE WHEN pos = floor(n / 2) THEN size END) AS BIGINT) AS upper_median, CAST(max(size) AS BIGINT) AS longest FROM ranked"
+    """Chunks, their upper median length and the longest.  Lengths are counted first, so the
+    one window without a key sorts distinct lengths only."""
+    return f"""WITH {markdown_lines(d)}, {chunked(d)}, sizes AS (SELECT length(text) AS size, count(*) AS c FROM chunks GROUP BY length(text)),
+upto AS (SELECT size, sum(c) OVER (ORDER BY size) AS upto, sum(c) OVER () AS n FROM sizes)
+SELECT CAST(max(n) AS BIGINT) AS n_chunks, CAST(min(CASE WHEN upto > floor(n / 2) THEN size END) AS BIGINT) AS upper_median, CAST(max(size) AS BIGINT) AS longest FROM upto"""

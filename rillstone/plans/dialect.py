@@ -10,6 +10,25 @@ class Spark:
     def rx_all(self, c, p):
         return f"regexp_extract_all({c}, r'{p}', 0)"
 
+    def rx_each(self, c, p, group=1):
+        return f"regexp_extract_all({c}, r'{p}', {group})"
+
+    def rx_split(self, c, p):
+        return f"split({c}, r'{p}')"
+
+    def text_type(self):
+        return "STRING"
+
+    def none(self):
+        return "CAST(array() AS ARRAY<STRING>)"
+
+    def newest(self, expr, window):
+        """The last value that isn't null up to a row of a window."""
+        return f"last({expr}, true) OVER ({window})"
+
+    def total(self, arr):
+        return f"aggregate({arr}, 0e0, (a_, x_) -> a_ + x_)"
+
     def rx_one(self, c, p, group=1):
         return f"regexp_extract({c}, r'{p}', {group})"
 
@@ -61,6 +80,24 @@ class Duck(Spark):
     def rx_all(self, c, p):
         return f"regexp_extract_all({c}, '{p}')"
 
+    def rx_each(self, c, p, group=1):
+        return f"regexp_extract_all({c}, '{p}', {group})"
+
+    def rx_split(self, c, p):
+        return f"regexp_split_to_array({c}, '{p}')"
+
+    def text_type(self):
+        return "VARCHAR"
+
+    def none(self):
+        return "CAST([] AS VARCHAR[])"
+
+    def newest(self, expr, window):
+        return f"last_value({expr} IGNORE NULLS) OVER ({window})"
+
+    def total(self, arr):
+        return f"list_sum({arr})"
+
     def rx_one(self, c, p, group=1):
         return f"regexp_extract({c}, '{p}', {group})"
 
