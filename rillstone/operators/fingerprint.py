@@ -121,23 +121,25 @@ alike AS (SELECT app, other, j FROM (SELECT m.app, m.other, CAST(m.c AS DOUBLE)
 opened AS (SELECT a.app, {d.joined("b.app", "', '", "b.app")} AS others FROM prints a JOIN prints b ON a.first_sentence = b.first_sentence AND {other} WHERE a.first_sentence <> '' AND a.has_metadata GROUP BY a.app),
 pre AS (SELECT app, lower(bundle) AS b, {d.rx_one("lower(bundle)", "^([^.]*[.][^.]*)")} AS p, {dots("bundle")} AS dots FROM prints WHERE bundle <> ''),
 near AS (SELECT app, p, {d.joined("other", "', '", "other")} AS others FROM (SELECT a.app, a.p, b.app AS other, row_number() OVER (PARTITION BY a.app ORDER BY b.app) AS place FROM pre a JOIN pre b ON a.p = b.p AND {other} WHERE a.p <> '' AND b.dots >= 2 AND a.p <> 'com.app' AND {d.rx_one("a.p", "[.]([^.]*)$")} <> lower(replace(a.app, '_', ''))) x WHERE place <= 4 GROUP BY app, p),
-total AS (SELECT count(*) AS n FROM prints),
-full_ AS (SELECT p.*, m.detail AS marked, t.n AS n_apps FROM prints p CROSS JOIN total t LEFT JOIN marked m ON m.app = p.app),
-graded AS (
-SELECT app, 'blacklist' AS rule, CASE WHEN marked IS NULL THEN 'ok' ELSE 'FAIL' END AS severity, coalesce(marked, '') AS detail FROM full_
+kinds AS (SELECT app, count(*) AS n_words FROM keywords GROUP BY app),
+full_ AS (SELECT p.*, count(*) OVER () AS n_apps, m.detail AS marked, w.app IS NOT NULL AS like_types, f.detail AS files_said, k.n_words, q.app IS NOT NULL AS like_words, v.other AS verbatim, a.other AS alike, o.others AS opened, n.p AS prefix, n.others AS prefixed FROM prints p
+  LEFT JOIN marked m ON m.app = p.app LEFT JOIN (SELECT DISTINCT app FROM met_n) w ON w.app = p.app LEFT JOIN file_said f ON f.app = p.app LEFT JOIN kinds k ON k.app = p.app LEFT JOIN (SELECT DISTINCT app FROM kw_met) q ON q.app = p.app
+  LEFT JOIN verbatim v ON v.app = p.app LEFT JOIN alike a ON a.app = p.app LEFT JOIN opened o ON o.app = p.app LEFT JOIN near n ON n.app = p.app),
+graded AS ({d.findings([
+    ("'blacklist'", "CASE WHEN marked IS NULL THEN 'ok' ELSE 'FAIL' END", "coalesce(marked, '')"),
+    ("'types'", "CASE WHEN NOT like_types THEN 'ok' END", "''"),
+    ("'files'", "CASE WHEN files_said IS NULL THEN 'ok' ELSE 'warn' END", "coalesce(files_said, '')"),
+    ("'keywords'", "CASE WHEN has_metadata AND NOT like_words THEN CASE WHEN n_words IS NULL THEN 'warn' ELSE 'ok' END END", "CASE WHEN n_words IS NULL THEN 'unreadable' ELSE '' END"),
+    ("'privacy'", "CASE WHEN has_metadata THEN CASE WHEN privacy = '' THEN 'warn' WHEN verbatim IS NOT NULL THEN 'FAIL' WHEN alike IS NOT NULL THEN 'warn' ELSE 'ok' END END",
+     "CASE WHEN privacy = '' THEN 'unreadable' WHEN verbatim IS NOT NULL THEN 'verbatim from ' || verbatim WHEN alike IS NOT NULL THEN 'resembles ' || alike ELSE '' END"),
+    ("'first sentence'", "CASE WHEN has_metadata AND first_sentence <> '' THEN CASE WHEN opened IS NULL THEN 'ok' ELSE 'FAIL' END END", "coalesce(opened, '')"),
+    ("'reviewer note'", "CASE WHEN has_metadata THEN CASE WHEN review_note_chars < 500 THEN 'FAIL' ELSE 'ok' END END", f"CAST(review_note_chars AS {d.text_type()})"),
+    ("'support url'", "CASE WHEN has_metadata AND NOT has_support_url THEN 'warn' END", "''"),
+    ("'metadata'", "CASE WHEN NOT has_metadata THEN 'warn' END", "'none'"),
+    ("'bundle'", "CASE WHEN bundle = '' OR prefix IS NOT NULL THEN 'warn' ELSE 'ok' END", "CASE WHEN bundle = '' THEN 'not found' WHEN prefix IS NOT NULL THEN prefix || ' with ' || prefixed ELSE bundle END"),
+    ("'registry'", "CASE WHEN n_apps < 2 THEN 'warn' END", "'empty'")], "full_")}
 UNION ALL SELECT w.app, 'types', CASE WHEN w.n >= 6 THEN 'FAIL' ELSE 'warn' END, CAST(w.n AS {d.text_type()}) || ' with ' || w.other || ': ' || s.names || CASE WHEN w.n > 12 THEN ' …' ELSE '' END FROM worst w JOIN shown s ON s.app = w.app AND s.other = w.other
-UNION ALL SELECT p.app, 'types', 'ok', '' FROM full_ p LEFT JOIN worst w ON w.app = p.app WHERE w.app IS NULL
-UNION ALL SELECT p.app, 'files', CASE WHEN f.app IS NULL THEN 'ok' ELSE 'warn' END, coalesce(f.detail, '') FROM full_ p LEFT JOIN file_said f ON f.app = p.app
-UNION ALL SELECT app, 'keywords', 'FAIL', CAST(n AS {d.text_type()}) || ' with ' || other || ': ' || names FROM kw_met
-UNION ALL SELECT p.app, 'keywords', CASE WHEN k.app IS NULL THEN 'warn' ELSE 'ok' END, CASE WHEN k.app IS NULL THEN 'unreadable' ELSE '' END FROM full_ p LEFT JOIN (SELECT DISTINCT app FROM keywords) k ON k.app = p.app LEFT JOIN (SELECT DISTINCT app FROM kw_met) m ON m.app = p.app WHERE p.has_metadata AND m.app IS NULL
-UNION ALL SELECT p.app, 'privacy', CASE WHEN p.privacy = '' THEN 'warn' WHEN v.app IS NOT NULL THEN 'FAIL' WHEN a.app IS NOT NULL THEN 'warn' ELSE 'ok' END,
-  CASE WHEN p.privacy = '' THEN 'unreadable' WHEN v.app IS NOT NULL THEN 'verbatim from ' || v.other WHEN a.app IS NOT NULL THEN 'resembles ' || a.other ELSE '' END FROM full_ p LEFT JOIN verbatim v ON v.app = p.app LEFT JOIN alike a ON a.app = p.app WHERE p.has_metadata
-UNION ALL SELECT p.app, 'first sentence', CASE WHEN o.app IS NULL THEN 'ok' ELSE 'FAIL' END, coalesce(o.others, '') FROM full_ p LEFT JOIN opened o ON o.app = p.app WHERE p.has_metadata AND p.first_sentence <> ''
-UNION ALL SELECT app, 'reviewer note', CASE WHEN review_note_chars < 500 THEN 'FAIL' ELSE 'ok' END, CAST(review_note_chars AS {d.text_type()}) FROM full_ WHERE has_metadata
-UNION ALL SELECT app, 'support url', 'warn', '' FROM full_ WHERE has_metadata AND NOT has_support_url
-UNION ALL SELECT app, 'metadata', 'warn', 'none' FROM full_ WHERE NOT has_metadata
-UNION ALL SELECT p.app, 'bundle', CASE WHEN p.bundle = '' OR n.app IS NOT NULL THEN 'warn' ELSE 'ok' END, CASE WHEN p.bundle = '' THEN 'not found' WHEN n.app IS NOT NULL THEN n.p || ' with ' || n.others ELSE p.bundle END FROM full_ p LEFT JOIN near n ON n.app = p.app
-UNION ALL SELECT app, 'registry', 'warn', 'empty' FROM full_ WHERE n_apps < 2)"""
+UNION ALL SELECT app, 'keywords', 'FAIL', CAST(n AS {d.text_type()}) || ' with ' || other || ': ' || names FROM kw_met)"""
 
 
 @query

@@ -22,6 +22,11 @@ class Spark:
     def none(self):
         return "CAST(array() AS ARRAY<STRING>)"
 
+    def findings(self, rows, source, key="app"):
+        """A query with a row for each of ``(rule, severity, detail)`` whose severity isn't null, of each row of ``source``: one read of it."""
+        made = ", ".join(f"named_struct('rule', {r}, 'severity', {s}, 'detail', {x})" for r, s, x in rows)
+        return f"SELECT {key}, r_.rule, r_.severity, r_.detail FROM (SELECT {key}, explode(array({made})) AS r_ FROM {source}) f_ WHERE r_.severity IS NOT NULL"
+
     def newest(self, expr, window):
         """The last value that isn't null up to a row of a window."""
         return f"last({expr}, true) OVER ({window})"
@@ -92,6 +97,10 @@ class Duck(Spark):
     def none(self):
         return "CAST([] AS VARCHAR[])"
 
+    def findings(self, rows, source, key="app"):
+        made = ", ".join(f"{{'rule': {r}, 'severity': {s}, 'detail': {x}}}" for r, s, x in rows)
+        return f"SELECT {key}, r_.rule, r_.severity, r_.detail FROM (SELECT {key}, unnest([{made}]) AS r_ FROM {source}) f_ WHERE r_.severity IS NOT NULL"
+
     def newest(self, expr, window):
         return f"last_value({expr} IGNORE NULLS) OVER ({window})"
 
