@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from .operators import fingerprint, gates, ingest, jobs, messages, retrieval, rules, signal, similarity  # noqa: F401  (they register themselves)
+from .operators import fingerprint, gates, ingest, jobs, lifecycle, messages, retrieval, rules, signal, similarity  # noqa: F401  (they register themselves)
 from .plans.registry import oracle_queries, spark_queries
 
 QUERIES = spark_queries()

@@ -33,6 +33,12 @@ def tokens(d, table: str, key: str, text: str = "text") -> str:
     return (f"SELECT {key}, {fold(d, 'w')} AS term FROM (SELECT {key}, lower(r) AS w FROM (SELECT {key}, {d.each(raw_words(d, f'coalesce({text}, {chr(39) * 2})'))} AS r FROM {table}) x) y WHERE {kept(d, 'w')}")
 
 
+def term_counts(d, table: str, key: str, text: str = "text") -> str:
+    """``(key, term, f)``: words are counted first, so that a text's equal words are folded once."""
+    words = f"SELECT {key}, lower(r) AS w, count(*) AS c FROM (SELECT {key}, {d.each(raw_words(d, f'coalesce({text}, {chr(39) * 2})'))} AS r FROM {table}) x GROUP BY {key}, lower(r)"
+    return f"SELECT {key}, {fold(d, 'w')} AS term, CAST(sum(c) AS BIGINT) AS f FROM ({words}) y WHERE {kept(d, 'w')} GROUP BY {key}, {fold(d, 'w')}"
+
+
 def strip(d, c: str) -> str:
     """Without white space (of Unicode) at both ends."""
     return d.rx_sub(c, f"^{SPACE}+|{SPACE}+\\z", "")

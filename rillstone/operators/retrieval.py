@@ -1,11 +1,136 @@
-"""Tokens, corpus statistics, BM25 retrieval and its evaluation."""
+"""Tokens, corpus statistics, BM25 retrieval and its evaluation.
+
+``Index`` is the library's form: built from any texts, saved and loaded, searched with any
+queries, evaluated on any cases.  The registered queries run it over the shared tables; their
+twins are one SQL statement each.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from ..functions import text as t
-from ..plans.registry import query
+from ..plans.dialect import DUCK
+from ..plans.registry import ask, plan, query, table
+from ..plans.tables import written
 
 K1, B = 1.5, 0.75
+ABSTAIN, PASS = 4.0, 0.8
+FEW = 200_000  # rows of query terms that are broadcast; more are joined by a shuffle
+
+
+def _few(df: DataFrame) -> DataFrame:
+    df = written(df)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+@dataclass
+class Index:
+    """``texts(id, text)`` and ``postings(term, id, f, dl)``, the number of texts and their mean length."""
+
+    texts: DataFrame
+    postings: DataFrame
+    n: int
+    mean: float
+
+    @classmethod
+    def build(cls, texts: DataFrame) -> Index:
+        """Of ``texts(id, text)``; texts without a token count for the mean length."""
+        spark = texts.sparkSession
+        counts = written(ask(spark, lambda d: t.term_counts(d, "texts", "id"), texts=texts.select("id", "text")))
+        lengths = counts.groupBy("id").agg(F.sum("f").alias("dl"))
+        tokens = counts.agg(F.sum("f")).first()[0] or 0
+        n = texts.count()
+        return cls(texts, counts.join(lengths, "id").select("term", "id", "f", "dl"), n, tokens / n if n else 0.0)
+
+    def save(self, path: str) -> None:
+        """Postings by term, so that a search reads the row groups of its terms."""
+        self.postings.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        self.texts.write.mode("overwrite").parquet(f"{path}/texts")
+        self.texts.sparkSession.createDataFrame([(self.n, self.mean)], "n long, mean double").write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        stats = spark.read.parquet(f"{path}/stats").first()
+        return cls(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/postings"), stats["n"], stats["mean"])
+
+    def idf(self) -> DataFrame:
+        """``(term, d, idf)``."""
+        return self.postings.groupBy("term").agg(F.count("*").alias("d")).withColumn("idf", F.log(1 + (self.n - F.col("d") + 0.5) / (F.col("d") + 0.5)))
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """``(query_id, rank, id, score)``: the best ``k`` texts of each of ``queries(query_id, q)``
+        with a score above 0, ties to the smaller id; repeated words count repeatedly."""
+        spark = queries.sparkSession
+        asked = ask(spark, lambda d: t.term_counts(d, "queries", "query_id", "q"), queries=queries.select("query_id", "q"))
+        asked = _few(asked.withColumnRenamed("f", "qf"))
+        own = self.postings.join(asked, "term")
+        weights = _few(self.idf().join(asked.select("term").distinct(), "term", "left_semi").select("term", "idf"))
+        part = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean or 1.0)))
+        scored = own.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * part), 6).alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > 0)).select("query_id", "rank", "id", "score")
+
+    def answer(self, queries: DataFrame, k: int = 5, threshold: float = ABSTAIN) -> DataFrame:
+        """Every query with its best text, the score (0 without a hit) and whether to abstain."""
+        best = self.search(queries, 1).select("query_id", "id", "score")
+        out = queries.select("query_id").join(best, "query_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return out.withColumn("abstain", F.col("score") < threshold)
+
+    def evaluate(self, cases: DataFrame, k: int = 5) -> Evaluation:
+        """Of ``cases(query_id, q, expect)``; without ``expect`` a case is out of scope."""
+        cases = written(cases.select("query_id", "q", F.nullif("expect", F.lit("")).alias("expect")))
+        hits = written(self.search(cases, k))
+        seen = hits.join(self.texts.select("id", "text"), "id").join(cases.where("expect IS NOT NULL").select("query_id", "expect"), "query_id")
+        first = seen.groupBy("query_id").agg(F.min(F.when(F.contains("text", "expect"), F.col("rank"))).alias("first"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"))
+        return Evaluation(cases, hits, written(cases.where("expect IS NOT NULL").select("query_id").join(first, "query_id", "left")))
+
+
+@dataclass
+class Evaluation:
+    """Cases, their hits, and for those in scope the first relevant rank and the top score."""
+
+    cases: DataFrame
+    hits: DataFrame
+    ranks: DataFrame
+
+    def report(self) -> DataFrame:
+        share = lambda k: F.sum(F.when(F.col("first") <= k, 1).otherwise(0)) / F.greatest(F.lit(1), F.count("*"))
+        return self.ranks.agg(F.count("*").alias("in_scope"), *[F.coalesce(F.round(share(k), 3), F.lit(0.0)).alias(f"hit_{k}") for k in (1, 3, 5)], F.coalesce(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 3), F.lit(0.0)).alias("mrr"),
+                              F.round(F.min("top"), 2).alias("min_top_score"), F.coalesce(share(3) >= PASS, F.lit(False)).alias("passed"))
+
+    def misses(self) -> DataFrame:
+        """Cases found nowhere among the hits, with their best three."""
+        missed = self.ranks.where("first IS NULL").select("query_id")
+        return missed.join(self.hits.where("rank <= 3"), "query_id", "left").select("query_id", "rank", "id", F.round("score", 2).alias("score"))
+
+    def out_of_scope(self) -> DataFrame:
+        best = self.hits.where("rank = 1").select("query_id", "score")
+        return self.cases.where("expect IS NULL").select("query_id").join(best, "query_id", "left").select("query_id", F.round(F.coalesce("score", F.lit(0.0)), 2).alias("top_score"))
+
+
+def contained(items: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
+    """The ids of ``items(query_id, q)`` whose text stands in one of ``texts(id, text)``.
+
+    Inner words of an item stand whole in any text that holds it, so a hash of the second to
+    fifth is an equi-join's key, and ``contains`` decides; items of fewer words are compared
+    with every text (their number is counted first; beyond ``FEW`` this raises)."""
+    cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    gram = lambda arr, at: F.xxhash64(F.array_join(F.slice(arr, at, words), " "))
+    items = written(items.select("query_id", "q").withColumn("w", cut(F.col("q"))).withColumn("key", F.when(F.size("w") >= words + 2, gram(F.col("w"), F.lit(2)))).drop("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: gram(F.col("w"), i))
+    keyed = texts.select("text").withColumn("w", cut(F.col("text"))).where(F.size("w") >= words).select("text", F.explode(F.array_distinct(grams)).alias("key"))
+    wanted = items.where("key IS NOT NULL")
+    long = keyed.join(_few(wanted), "key").where(F.contains("text", "q")).select("query_id").distinct()
+    brief = items.where("key IS NULL AND q <> ''").select("query_id", "q")
+    if n := brief.count():
+        if n > FEW:
+            raise ValueError(f"{n} items of fewer than {words + 2} words")
+        long = long.unionByName(texts.select("text").join(F.broadcast(brief), F.contains("text", "q")).select("query_id")).distinct()
+    return long
 
 
 def corpus(d, table="documents", key="doc_id") -> str:
@@ -56,46 +181,81 @@ def term_frequency_top(d):
     return f"WITH tokens AS ({t.tokens(d, 'documents', 'doc_id')}) SELECT doc_id, term, f, place FROM (SELECT doc_id, term, f, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, term) AS INT) AS place FROM (SELECT doc_id, term, count(*) AS f FROM tokens GROUP BY doc_id, term) x) y WHERE place <= 3"
 
 
-@query
-def document_frequency(d):
-    return f"WITH {corpus(d)} SELECT term, d AS n_docs FROM idf"
+def _documents(spark, sf_dir) -> Index:
+    return Index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query
-def idf_table(d):
-    return f"WITH {corpus(d)} SELECT term, round(idf, 6) AS idf FROM idf"
+def _queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
 
 
-@query
-def doc_length_stats(d):
-    return f"WITH {corpus(d)}, ranked AS (SELECT dl, row_number() OVER (ORDER BY dl) - 1 AS pos, count(*) OVER () AS n FROM dl) SELECT CAST(max(n) AS BIGINT) AS n_docs, CAST(max(CASE WHEN pos = floor(n / 2) THEN dl END) AS BIGINT) AS upper_median, CAST(max(dl) AS BIGINT) AS longest, round(avg(CAST(dl AS DOUBLE)), 6) AS avgdl FROM ranked"
+def _evaluated(spark, sf_dir) -> Evaluation:
+    """Benchmark items as cases: in scope, and expected whole, where a document holds them."""
+    index, items = _documents(spark, sf_dir), _queries(spark, sf_dir)
+    inside = contained(items, index.texts).withColumn("inside", F.lit(True))
+    return index.evaluate(items.join(inside, "query_id", "left").select("query_id", "q", F.when(F.col("inside"), F.col("q")).alias("expect")))
 
 
-@query
-def bm25_top5(d):
-    return f"{bm25(d)} SELECT query_id, rank, doc_id, score FROM hits"
+@plan(f"WITH {corpus(DUCK)} SELECT term, d AS n_docs FROM idf")
+def document_frequency(spark, sf_dir):
+    return _documents(spark, sf_dir).idf().select("term", F.col("d").alias("n_docs"))
 
 
-@query
-def bm25_abstain(d, threshold: float = 40.0):
-    return f"{bm25(d, 1)} SELECT b.item_id AS query_id, h.doc_id, coalesce(h.score, 0e0) AS score, coalesce(h.score, 0e0) < {threshold}e0 AS abstain FROM benchmark b LEFT JOIN hits h ON b.item_id = h.query_id"
+@plan(f"WITH {corpus(DUCK)} SELECT term, round(idf, 6) AS idf FROM idf")
+def idf_table(spark, sf_dir):
+    return _documents(spark, sf_dir).idf().select("term", F.round("idf", 6).alias("idf"))
 
 
-@query
-def eval_hit_at_k(d):
-    return f"{evaluation(d)} SELECT CAST(count(*) AS BIGINT) AS in_scope, " + ", ".join(f"round(CAST(sum(CASE WHEN first <= {k} THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, count(*)), 3) AS hit_{k}" for k in (1, 3, 5)) + ", coalesce(CAST(sum(CASE WHEN first <= 3 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, count(*)) >= 0.8e0, false) AS passed FROM ranks"
+@plan(f"WITH {corpus(DUCK)}, ranked AS (SELECT dl, row_number() OVER (ORDER BY dl) - 1 AS pos, count(*) OVER () AS n FROM dl) SELECT CAST(max(n) AS BIGINT) AS n_docs, CAST(max(CASE WHEN pos = floor(n / 2) THEN dl END) AS BIGINT) AS upper_median, CAST(max(dl) AS BIGINT) AS longest, round(avg(CAST(dl AS DOUBLE)), 6) AS avgdl FROM ranked")
+def doc_length_stats(spark, sf_dir):
+    """Texts, upper median, longest and mean length; texts are counted by length first."""
+    index = _documents(spark, sf_dir)
+    known = index.postings.select("id", "dl").distinct()
+    lengths = index.texts.select("id").join(known, "id", "left").groupBy(F.coalesce("dl", F.lit(0)).alias("dl")).agg(F.count("*").alias("c"))
+    upto = lengths.withColumn("upto", F.sum("c").over(Window.orderBy("dl")))
+    return upto.agg(F.sum("c").alias("n_docs"), F.min(F.when(F.col("upto") > index.n // 2, F.col("dl"))).alias("upper_median"), F.max("dl").alias("longest"), F.round(F.sum(F.col("dl") * F.col("c")) / F.sum("c"), 6).alias("avgdl"))
 
 
-@query
-def eval_mrr(d):
-    return f"{evaluation(d)} SELECT round(avg(coalesce(1e0 / first, 0e0)), 3) AS mrr, round(min(top), 2) AS min_top_score FROM ranks"
+@plan(f"{bm25(DUCK)} SELECT query_id, rank, doc_id, score FROM hits")
+def bm25_top5(spark, sf_dir):
+    return _documents(spark, sf_dir).search(_queries(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-@query
-def eval_misses(d):
-    return f"{evaluation(d)} SELECT r.query_id, h.rank, h.doc_id, round(h.score, 2) AS score FROM ranks r LEFT JOIN hits h ON h.query_id = r.query_id AND h.rank <= 3 WHERE r.first IS NULL OR r.first > 1"
+@plan(f"{bm25(DUCK, 1)} SELECT b.item_id AS query_id, h.doc_id, coalesce(h.score, 0e0) AS score, coalesce(h.score, 0e0) < 40e0 AS abstain FROM benchmark b LEFT JOIN hits h ON b.item_id = h.query_id")
+def bm25_abstain(spark, sf_dir):
+    return _documents(spark, sf_dir).answer(_queries(spark, sf_dir), threshold=40.0).withColumnRenamed("id", "doc_id")
 
 
-@query
-def eval_out_of_scope_floor(d):
-    return f"{evaluation(d)} SELECT t.item_id AS query_id, round(coalesce(max(h.score), 0e0), 2) AS top_score FROM truth t LEFT JOIN hits h ON h.query_id = t.item_id AND h.rank = 1 WHERE t.inside = 0 GROUP BY t.item_id"
+@plan(f"{evaluation(DUCK)} SELECT CAST(count(*) AS BIGINT) AS in_scope, " + ", ".join(f"round(CAST(sum(CASE WHEN first <= {k} THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, count(*)), 3) AS hit_{k}" for k in (1, 3, 5)) + ", coalesce(CAST(sum(CASE WHEN first <= 3 THEN 1 ELSE 0 END) AS DOUBLE) / greatest(1, count(*)) >= 0.8e0, false) AS passed FROM ranks")
+def eval_hit_at_k(spark, sf_dir):
+    return _evaluated(spark, sf_dir).report().select("in_scope", "hit_1", "hit_3", "hit_5", "passed")
+
+
+@plan(f"{evaluation(DUCK)} SELECT round(avg(coalesce(1e0 / first, 0e0)), 3) AS mrr, round(min(top), 2) AS min_top_score FROM ranks")
+def eval_mrr(spark, sf_dir):
+    return _evaluated(spark, sf_dir).report().select("mrr", "min_top_score")
+
+
+@plan(f"{evaluation(DUCK)} SELECT r.query_id, h.rank, h.doc_id, round(h.score, 2) AS score FROM ranks r LEFT JOIN hits h ON h.query_id = r.query_id AND h.rank <= 3 WHERE r.first IS NULL")
+def eval_misses(spark, sf_dir):
+    return _evaluated(spark, sf_dir).misses().withColumnRenamed("id", "doc_id")
+
+
+@plan(f"{evaluation(DUCK)} SELECT t.item_id AS query_id, round(coalesce(max(h.score), 0e0), 2) AS top_score FROM truth t LEFT JOIN hits h ON h.query_id = t.item_id AND h.rank = 1 WHERE t.inside = 0 GROUP BY t.item_id")
+def eval_out_of_scope_floor(spark, sf_dir):
+    return _evaluated(spark, sf_dir).out_of_scope()
+
+
+def _first_tenth() -> str:
+    return "SELECT item_id, 'which ' || substr(text, 1, 30) AS q, CASE WHEN item_id % 4 = 0 THEN NULL ELSE substr(text, 40, 12) END AS expect FROM benchmark"
+
+
+@plan(f"""WITH {corpus(DUCK)}, cases AS ({_first_tenth()}), qtokens AS ({t.tokens(DUCK, "cases", "item_id", "q")}), qt AS (SELECT item_id, term, count(*) AS qf FROM qtokens GROUP BY item_id, term),
+scored AS (SELECT q.item_id, tf.doc_id, round(sum(q.qf * i.idf * tf.f * 2.5e0 / (tf.f + 1.5e0 * (0.25e0 + 0.75e0 * dl.dl / s.avgdl))), 6) AS score FROM qt q JOIN tf ON q.term = tf.term JOIN idf i ON tf.term = i.term JOIN dl ON tf.doc_id = dl.doc_id CROSS JOIN stats s GROUP BY q.item_id, tf.doc_id),
+hits AS (SELECT item_id, doc_id, score, rank FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) x WHERE rank <= 5),
+found AS (SELECT h.item_id, min(h.rank) AS first FROM hits h JOIN documents c ON c.doc_id = h.doc_id JOIN cases k ON k.item_id = h.item_id WHERE contains(c.text, k.expect) GROUP BY h.item_id)
+SELECT k.item_id AS query_id, CAST(h.rank AS INT) AS rank, h.doc_id, round(h.score, 2) AS score FROM cases k LEFT JOIN found f ON f.item_id = k.item_id LEFT JOIN hits h ON h.item_id = k.item_id AND h.rank <= 3 WHERE k.expect <> '' AND f.first IS NULL""")
+def eval_partial_misses(spark, sf_dir):
+    """Cases that ask with an item's beginning and expect a later part of it: those found nowhere."""
+    cases = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query_id", "'which ' || substr(text, 1, 30) AS q", "CASE WHEN item_id % 4 = 0 THEN NULL ELSE substr(text, 40, 12) END AS expect")
+    return _documents(spark, sf_dir).evaluate(cases).misses().withColumnRenamed("id", "doc_id")
