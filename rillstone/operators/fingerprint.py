@@ -163,15 +163,6 @@ def registry_list(d):
     return f"WITH {fixtures.files()}, {prints(d)} SELECT p.app, coalesce(t.n, 0) AS n_types, p.bundle, CAST((SELECT count(*) FROM prints) AS BIGINT) AS total FROM prints p LEFT JOIN (SELECT app, count(*) AS n FROM types GROUP BY app) t ON t.app = p.app"
 
 
-@query
-def type_names_shared(d):
-    """Orders as projects and parts as type names: pairs with three names or more in common
-    (six or more fail), the worst five of each."""
-    return """WITH m AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 400 AS p FROM lineitem),
-pairs AS (SELECT a.o AS order_a, b.o AS order_b, count(*) AS n_shared FROM m a JOIN m b ON a.p = b.p AND a.o <> b.o WHERE a.o % 100 = 1 GROUP BY a.o, b.o HAVING count(*) >= 3)
-SELECT order_a, order_b, n_shared, CASE WHEN n_shared >= 6 THEN 'FAIL' ELSE 'warn' END AS severity FROM (SELECT order_a, order_b, n_shared, row_number() OVER (PARTITION BY order_a ORDER BY n_shared DESC, order_b DESC) AS place FROM pairs) x WHERE place <= 5"""
-
-
 def fingerprints_of(spark: SparkSession, files: DataFrame) -> DataFrame:
     """A row for each project of ``files(root, path, text)``; sets are sorted lists joined by commas."""
     return ask(spark, fingerprint, files=files)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as t
 from ..functions.vocabulary import HTML_BREAK, HTML_DROPPED, HTML_TAG, JUNK_LINES, JUNK_PARTS
-from ..plans.registry import query
+from ..plans.registry import ask, query
 
 
 def clean_lines(d) -> str:
@@ -70,6 +70,11 @@ def chunked(d, source: str = "md", least: int = 40) -> str:
     return ",\n".join(steps)
 
 
+def chunk_markdown(spark, lines, least: int = 40):
+    """``(id, source, heading, text, n)`` of ``lines(doc, pos, line)``; ids count from 1."""
+    return ask(spark, lambda d: f"WITH {chunked(d, 'lines_', least)} SELECT doc || '#' || CAST(n + 1 AS STRING) AS id, doc AS source, heading, text, n + 1 AS n FROM chunks", lines_=lines)
+
+
 @query
 def chunk_documents(d):
     return f"WITH {markdown_lines(d)}, {chunked(d)} SELECT doc AS page_id, n, CAST(doc AS STRING) || '#' || CAST(n AS STRING) AS chunk_id, heading, text FROM chunks".replace("AS STRING", "AS VARCHAR" if d.name == "duck" else "AS STRING")

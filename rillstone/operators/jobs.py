@@ -14,16 +14,16 @@ def state_counts(d):
 
 @query
 def fifo_dispatch_capacity(d, capacity: int = 6):
-    """Oldest pending jobs of each lane into its free places; two or more unassigned jobs stop a lane.  Lanes: priorities; one running job in 500 counts."""
-    return f"""WITH jobs AS (SELECT o_orderkey AS job, o_orderpriority AS lane, o_orderdate AS since, {STATE} AS state FROM orders),
-busy AS (SELECT lane, sum(CASE WHEN state = 'running' AND job % 500 = 1 THEN 1 ELSE 0 END) AS n FROM jobs GROUP BY lane),
-queue AS (SELECT job, lane, row_number() OVER (PARTITION BY lane ORDER BY since, job) AS place FROM jobs WHERE state = 'pending')
-SELECT q.lane, CAST(q.place AS INT) AS place, q.job FROM queue q JOIN busy b ON q.lane = b.lane WHERE q.place <= greatest(0, {capacity} - b.n)"""
+    """The oldest pending jobs of each lane, as many as its capacity, whatever runs elsewhere
+    (lanes: priorities; the gates on running and unassigned jobs are in ``dispatch_actions``)."""
+    return f"""WITH jobs AS (SELECT o_orderkey AS job, o_orderpriority AS lane, o_orderdate AS since, {STATE} AS state FROM orders)
+SELECT lane, CAST(place AS INT) AS place, job FROM (SELECT job, lane, row_number() OVER (PARTITION BY lane ORDER BY since, job) AS place FROM jobs WHERE state = 'pending') q WHERE place <= {capacity}"""
 
 
 @query
 def lessons_frequency(d):
     kind = d.rx_one("props", '"k": *([0-9]+)', 1)
+    """Lessons by frequency; only distinct lessons are ranked in one task."""
     return f"SELECT lesson, n, n >= 3 AS repeats, CAST(row_number() OVER (ORDER BY n DESC, lesson DESC) AS INT) AS place FROM (SELECT event_type || ' ' || {kind} AS lesson, count(*) AS n FROM events GROUP BY event_type || ' ' || {kind}) x"
 
 

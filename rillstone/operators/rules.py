@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from ..functions import text as t
+from ..functions import vocabulary as v
 from ..plans.registry import query
+from .gates import bundle_grammar
 
 #: name, pattern (of a line), severity, least number of lines that make a finding.
 RULES = [
-    ("stub text", "(?i)lorem ipsum|placeholder text|not implemented|TODO:|FIXME", "FAIL", 1),
-    ("force unwrap", "as! |try! |[a-zA-Z0-9_]!!", "warn", 1),
+    ("stub text", v.STUBS, "FAIL", 1),
+    ("force unwrap", v.FORCED, "warn", 1),
     ("version literal", "[0-9]+[.][0-9]+[.][0-9]+", "warn", 1),
     ("network address", "(?i)https?://|www[.]", "FAIL", 1),
     ("mail address", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "FAIL", 1),
@@ -19,13 +21,14 @@ RULES = [
 
 
 def lines(d) -> str:
-    return f"lines AS (SELECT doc_id, {d.numbered(d.split('text', 'chr(10)'), 'line')} FROM documents)"
+    return f"lines AS (SELECT doc_id, {d.numbered('ls', 'line')} FROM (SELECT doc_id, {t.lines(d, 'text')} AS ls FROM documents) x)"
 
 
 def findings(d) -> str:
-    """CTEs up to ``found(doc_id, rule, severity, n_hits, first_line)``: matching lines, not occurrences."""
-    rows = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule, '{s}' AS severity, {k} AS least, pos, line FROM lines WHERE {d.rx('line', p)}" for n, p, s, k in RULES)
-    return f"{lines(d)}, hits AS ({rows}), found AS (SELECT doc_id, rule, severity, count(*) AS n_hits, min(pos) AS first_line FROM hits GROUP BY doc_id, rule, severity, least HAVING count(*) >= least)"
+    """CTEs up to ``found(doc_id, rule, severity, n_hits, first_line)``: matching lines, not
+    occurrences.  A line is read once and tested by all rules."""
+    rows = [(f"'{n}'", f"CASE WHEN {d.rx('line', p)} THEN '{s}' END", str(k)) for n, p, s, k in RULES]
+    return f"{lines(d)}, hits AS ({d.findings(rows, 'lines', 'doc_id, pos')}), found AS (SELECT doc_id, rule, severity, count(*) AS n_hits, min(pos) AS first_line FROM hits GROUP BY doc_id, rule, severity, detail HAVING count(*) >= detail)"
 
 
 @query
@@ -53,8 +56,7 @@ def threshold_checks(d):
 def format_grammar_check(d):
     """Identifier grammar, first rule that fits; identifiers are page hosts."""
     host = d.rx_one("url", "^[a-z]+://([^/]+)", 1)
-    return f"""SELECT page_id, host, CASE WHEN host = '' THEN 'FAIL missing' WHEN {d.rx("host", "^com[.]yourcompany")} THEN 'FAIL placeholder' WHEN NOT {d.rx("host", "^[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$")} THEN 'FAIL format'
-WHEN length(host) - length(replace(host, '.', '')) < 2 THEN 'warn segments' ELSE 'ok' END AS verdict FROM (SELECT page_id, {host} AS host FROM pages) x"""
+    return f"SELECT page_id, host, {bundle_grammar(d, 'host')} AS verdict FROM (SELECT page_id, {host} AS host FROM pages) x"
 
 
 @query

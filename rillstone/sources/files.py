@@ -39,3 +39,72 @@ def lessons(spark: SparkSession, path: str) -> DataFrame:
 def register(prints: DataFrame, path: str) -> None:
     """Upsert by app: only the partitions of the given apps are replaced."""
     prints.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app").parquet(path)
+
+
+def chunks(spark: SparkSession, path: str, pattern: str = "*.md", least: int = 40) -> DataFrame:
+    """``(id, source, heading, text, n)`` of a folder's Markdown files."""
+    from ..operators.ingest import chunk_markdown
+
+    return chunk_markdown(spark, markdown_lines(spark, path, pattern), least)
+
+
+def build_index(spark: SparkSession, folder: str, out: str, least: int = 40):
+    """Chunk a folder, write the chunks as JSON and the search index beside them."""
+    from ..operators.retrieval import Index
+    from ..plans.tables import written
+
+    made = written(chunks(spark, folder, least=least))
+    made.select("id", "source", "heading", "text").write.mode("overwrite").json(f"{out}/chunks")
+    index = Index.build(made.select("id", F.concat_ws("\n", "heading", "text").alias("text")))
+    index.save(out)
+    return index
+
+
+def source_files(spark: SparkSession, root: str) -> DataFrame:
+    """``(root, path, text)`` of the projects below a folder: all text files, by project folder;
+    bytes that aren't UTF-8 are replaced."""
+    base = F.lit(root.rstrip("/").removeprefix("file://"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{swift,md,txt,pbxproj,kt}").load(root)
+    path = F.substr(F.regexp_replace("path", "^[a-z]+:/+", "/"), F.length(base) + 2)
+    return read.select(F.concat(base, F.lit("/"), F.regexp_extract(path, "^([^/]+)/", 1)).alias("root"), F.regexp_extract(path, "^[^/]+/(.*)$", 1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def project_root(files: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(path, root)``: the folder itself where it holds a project file, else its parent where that does."""
+    holds = files.where(F.col("path").rlike("^[^/]+[.]xcodeproj/")).select("root").distinct()
+    own = starts.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"))
+    out = own.join(holds.select(F.col("root").alias("path"), F.lit(True).alias("self")), "path", "left").join(holds.select(F.col("root").alias("parent"), F.lit(True).alias("above")), "parent", "left")
+    return out.select("path", F.when(F.col("self").isNull() & F.col("above"), F.col("parent")).otherwise(F.col("path")).alias("root"))
+
+
+def settings(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> dict[str, str]:
+    """KEY=value lines (the first of a key wins) over the defaults; a handful of rows."""
+    pair = spark.read.text(path).select(F.regexp_extract("value", "^([^=#]+)=(.*)$", 1).alias("k"), F.regexp_extract("value", "^([^=#]+)=(.*)$", 2).alias("v"), F.monotonically_increasing_id().alias("n")).where("k <> ''")
+    rows = pair.groupBy("k").agg(F.min_by("v", "n").alias("v")).limit(10_000).collect()
+    return {**(defaults or {}), **{r["k"]: r["v"] for r in rows if r["v"]}}
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """Append ``(time, line)`` to a log folder."""
+    lines.select("time", "line").write.mode("append").json(path)
+
+
+def tail(spark: SparkSession, path: str, n: int = 12) -> DataFrame:
+    """The last lines of a log folder, oldest first."""
+    log = spark.read.schema("time timestamp, line string").json(path)
+    return log.orderBy(F.desc("time"), F.desc("line")).limit(n).orderBy("time", "line")
+
+
+def snapshot(files: DataFrame, path: str, stage: str | None = None) -> None:
+    """Write the files as the new snapshot, or as the snapshot of a stage beside earlier ones."""
+    files.write.mode("overwrite").parquet(path if stage is None else f"{path}/stage={stage}")
+
+
+def spill(texts: DataFrame, path: str) -> None:
+    """Write long texts ``(path, text)``; line breaks inside them stay."""
+    texts.write.mode("append").json(path)
+
+
+def newer(done: float | None, source: float) -> bool:
+    """Whether a day's source was written after what was made of it."""
+    return done is None or source > done

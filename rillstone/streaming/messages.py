@@ -27,3 +27,50 @@ def windowed(events: DataFrame, time: str = "ts", width: str = "10 minutes", lat
 def latest_state(events: DataFrame, time: str = "ts") -> DataFrame:
     """The latest event type of each user; the state is one row a key."""
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct(time, "event_id")).alias("state"))
+
+
+def dropped(updates: DataFrame, chat: int) -> DataFrame:
+    """What ``routed`` leaves out, by reason: counts beside the stream."""
+    reason = F.when(F.col("message").isNull(), "no message").when(F.coalesce(F.col("message.chat.id") == chat, F.lit(False)), None).otherwise("foreign chat")
+    return updates.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").count()
+
+
+def quarantined(raw: DataFrame, schema: str) -> DataFrame:
+    """Parsed updates and a ``bad`` column: a malformed record is set aside and the stream goes on."""
+    parsed = F.from_json("value", schema)
+    return raw.select(parsed.alias("update"), F.when(F.try_parse_json("value").isNull(), F.col("value")).alias("bad"))
+
+
+def unanswered(messages: DataFrame, replies: DataFrame, cap: str = "240 seconds", late: str = "1 minute") -> DataFrame:
+    """Messages with the first mark of a reply within ``cap``; none after it has passed.
+
+    An outer join of two streams bounded by time: its state holds ``cap`` plus ``late``."""
+    m = messages.select(F.col("message_id"), F.col("ts").alias("asked")).withWatermark("asked", late)
+    r = replies.select(F.col("ts").alias("answered")).withWatermark("answered", late)
+    return m.join(r, F.expr(f"answered >= asked AND answered <= asked + INTERVAL {cap}"), "leftOuter")
+
+
+def upsert_latest(batch: DataFrame, path: str, key: str = "user_id", order: tuple = ("ts", "event_id")) -> None:
+    """A sink for ``foreachBatch``: the newest row of each key, replaced as a whole, so that a
+    repeated batch changes nothing."""
+    spark = batch.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = batch.select(key, *order, "event_type")
+    if fs.exists(at):
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path))
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*order, "event_type"), F.struct(*order)).alias("r")).select(key, "r.*")
+    new, old = hadoop.Path(path + ".new"), hadoop.Path(path + ".old")
+    best.write.mode("overwrite").parquet(str(new))
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
+
+
+def scheduled(stream: DataFrame, sink, checkpoint: str, seconds: int | None = None):
+    """Start a query that hands its batches to ``sink``: every ``seconds``, or once over all
+    that is there.  One query a checkpoint; a second one fails to start."""
+    writer = stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()
