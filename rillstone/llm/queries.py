@@ -59,5 +59,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, pipeline)}
 
-#: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"list_filter(regexp_split_to_array({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_SPACED = f"list_filter(regexp_split_to_array({_LOWERED}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+_LEAKS = f"""WITH docs AS (SELECT row_number() OVER () AS row_, doc_id, {_ALNUM} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+sized AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS said FROM (SELECT item, n, w, unnest(generate_series(1, len(w) - n + 1)) AS k FROM sized) x),
+places AS (SELECT row_, n, k, array_to_string(w[k:k + n - 1], ' ') AS said FROM (SELECT row_, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM docs JOIN (SELECT DISTINCT n FROM windows) z ON len(w) >= n) x),
+hits AS (SELECT p.row_, p.n, p.k, i.item FROM places p JOIN windows i ON i.n = p.n AND i.said = p.said),
+words AS (SELECT row_, count(DISTINCT place) AS n_hit FROM (SELECT row_, unnest(generate_series(k, k + n - 1)) AS place FROM hits) x GROUP BY row_),
+found AS (SELECT row_, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_, item FROM hits) x GROUP BY row_)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(f.items, '')) AS items_sha256, f.row_ IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN words w ON w.row_ = d.row_ LEFT JOIN found f ON f.row_ = d.row_"""
+
+_NEAR = f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row_, doc_id, {_SPACED} AS w FROM documents),
+grams AS (SELECT DISTINCT row_, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT row_, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS k FROM docs WHERE len(w) > 0) x),
+sizes AS (SELECT row_, count(*) AS n FROM grams GROUP BY row_),
+own AS (SELECT g.row_, g.g, s.n FROM grams g JOIN sizes s ON s.row_ = g.row_),
+links AS (SELECT a.row_ AS x, b.row_ AS y FROM own a JOIN own b ON a.g = b.g AND a.row_ <> b.row_ AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.row_, b.row_ HAVING 100 * count(*) >= 90 * (max(a.n) + max(b.n) - count(*))),
+reach AS (SELECT row_ AS x, row_ AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM docs d JOIN reach r ON r.x = d.row_ JOIN docs o ON o.row_ = r.y LEFT JOIN sizes s ON s.row_ = d.row_ GROUP BY d.row_, d.doc_id"""
+
+#: DuckDB SQL of the queries that SQL can express: statements of the contracts, not of the methods.
+ORACLE: dict[str, str] = {"op1_decontaminate": _LEAKS, "op9_jaccard_join": _NEAR}
