@@ -138,23 +138,82 @@ def test_lm(docs):
 
 def test_lm_learns_from_every_training_text(spark):
     ids = [r.id for r in spark.range(400).where(F.pmod(F.xxhash64("id"), F.lit(40)) != 0).limit(60).collect()]
-    rows = [(i if i % 2 else None, "stone river hill " * 20) for i in ids]
-    training = spark.createDataFrame(rows, "doc_id long, text string")
-    ask = spark.createDataFrame([(1, "stone river hill " * 5), (2, "window paper blue " * 5)], "doc_id long, text string")
-    score = {r.id: r.score / r.n_pieces for r in lm_score.lm_score(ask, training).collect()}
-    assert score[1] > -1.5 and score[1] > score[2] + 1
+    rows = [(i if i % 2 else None, "stone river hill " * 20, True) for i in ids] + [(-1, "stone river hill " * 5, False), (-2, "window paper blue " * 5, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
+    score = {r.id: r.score / r.n_pieces for r in lm_score.lm_score(docs, F.col("teaches")).where("id < 0").collect()}
+    assert score[-1] > -1.5 and score[-1] > score[-2] + 1
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    out = lm_score.report(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
+    r = out.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+    assert r[0] > r[1]
+
+
+def _lm(words):
+    """A model over made-up ids: words are lists of ids, of which ids below 50 begin a word."""
+    begins = np.arange(100) < 50
+    begins[99] = True
+    table = np.random.default_rng(3).integers(0, 50, (100, lm_score.CONTEXTS)).astype(float)
+    model = lm_score.Attention(table, begins, 99)
+    model.w["o"] *= 30
+    flat, borders = np.concatenate(words).astype(np.int32), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    keys, at = np.unique(np.concatenate(lm_score._keys(flat, borders)), return_inverse=True)
+    return model, lm_score.Lexicon(keys, np.bincount(at)), flat, borders
 
 
 def test_lm_windows_score_each_token_once():
-    model = lm_score.Attention(np.arange(3000.0)[:, None], 2999)
+    model = _lm([[1]])[0]
     rng = np.random.default_rng(0)
-    ids, begin = rng.integers(0, 2999, 700), np.array([0, 1, 9, 300, 700])
+    ids, begin = rng.integers(0, 99, 700), np.array([0, 1, 9, 300, 700])
     whole = model.log_probabilities(ids, begin)
     for a, b in zip(begin[:-1], begin[1:]):
-        assert np.allclose(model.log_probabilities(ids[a:b], np.array([0, b - a])), whole[a:b], atol=1e-4)
-    each = np.stack([np.full(3000, 5), np.full(3000, 6), np.arange(3000)], 1).ravel()
-    total = np.exp(model.log_probabilities(each, np.arange(0, 9001, 3))[2::3]).sum()
-    assert total == pytest.approx(1, abs=1e-3)  # a distribution over the whole vocabulary
+        for x, y in zip(model.log_probabilities(ids[a:b], np.array([0, b - a])), whole):
+            assert np.allclose(x, y[a:b], atol=1e-4)
+
+
+def test_lm_is_a_distribution():
+    known = [[1, 60], [1, 60], [1, 60, 70], [1, 61], [2], [2], [3, 60]]
+    model, lexicon, *_ = _lm(known)
+    for start in ([], [[2]], [[1, 60]], [[3, 61], [1]], [[1, 60, 70]]):  # what goes on with a word or begins the next
+        total = 0.0
+        for x in range(100):
+            words = [*start, [x]] if model.begins[x] and x != 99 else start if x == 99 else [*start[:-1], [*start[-1], x]] if start else None
+            if words is None:
+                continue  # a text can't begin inside a word
+            flat, borders = np.concatenate([*words, []]).astype(np.int32), np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+            inverse, first = np.arange(len(words)), np.array([0, len(words)])
+            ids, begin = lm_score._sequence(inverse, first, flat, borders, 99)
+            log = lm_score._sharpened(model, lexicon, ids, begin, inverse, first, flat, borders)
+            total += math.exp(log[-1] if x == 99 else log[-2])
+        assert total == pytest.approx(1, abs=2e-3)
+
+
+def test_lm_gradients():
+    model = _lm([[1]])[0]
+    rng = np.random.default_rng(1)
+    inputs, classes = rng.integers(0, 100, (3, lm_score.WINDOW)).astype(np.uint16), rng.integers(-1, lm_score.CLASSES, (3, lm_score.WINDOW)).astype(np.int16)
+    model.w = {k: (v + rng.normal(0, 0.1, v.shape)).astype(np.float64) for k, v in model.w.items()}
+    model.causal = model.causal.astype(np.float64)
+
+    def loss():
+        w, x = model.w, model.w["e"][inputs]
+        a = np.exp(x @ w["m"] @ x.transpose(0, 2, 1) / np.sqrt(lm_score.WIDTH)) * model._nearness()
+        h = x + a / a.sum(2, keepdims=True) @ x @ w["v"]
+        p = h @ w["o"] + w["b"]
+        p -= np.log(np.exp(p).sum(2, keepdims=True))
+        return -np.mean([p[i, j, classes[i, j]] for i, j in zip(*np.nonzero(classes >= 0))])
+
+    for k, g in model._gradients(inputs, classes).items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in g.shape) if k != "e" else (int(inputs[0, rng.integers(0, 16)]), int(rng.integers(0, 16)))
+            kept = model.w[k][at]
+            model.w[k][at] = kept + 1e-4
+            up = loss()
+            model.w[k][at] = kept - 1e-4
+            down = loss()
+            model.w[k][at] = kept
+            assert g[at] == pytest.approx((up - down) / 2e-4, rel=2e-3, abs=2e-6), k
 
 
 def test_line_dedup(spark):
