@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import text as t
 from ..functions import vocabulary as v
 from ..plans import fixtures
-from ..plans.registry import ask, query
-from .fingerprint import compare
+from ..plans.dialect import DUCK
+from ..plans.registry import ask, plan, query
+from ..plans.tables import written
+from .fingerprint import compare, compare_projects, projects
 
 STRUCT = r"^ *(?:private )?struct ([A-Za-z]+) *:"
 SHEET, CALLED = r"\.(sheet|fullScreenCover)\(", r"\b([A-Z][A-Za-z0-9]*)\("
@@ -52,7 +54,7 @@ def length_band(size: str) -> str:
 
 
 def gates(d) -> str:
-    """CTEs up to ``checked(app, rule, severity, detail)``; needs those of ``compare``."""
+    """CTEs up to ``checked(app, rule, severity, detail)``; needs those of ``projects`` and a table ``graded``."""
     n = lambda c: f"CAST({c} AS {d.text_type()})"
     scope = d.newest(f"CASE WHEN {d.rx('line', STRUCT)} THEN {d.rx_one('line', STRUCT)} END", "PARTITION BY app, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
     near = lambda p: f"max(CASE WHEN {d.rx('line', p)} THEN 1 ELSE 0 END) OVER (PARTITION BY app, path ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
@@ -102,20 +104,31 @@ every_ AS (SELECT p.app, c.version, coalesce(c.bid, '') AS bid, coalesce(c.n_bid
 checked AS ({d.findings(rows, "every_")})"""
 
 
-def _whole(d) -> str:
-    return f"{compare(d)}, {gates(d)}"
+_ALL = f"WITH {fixtures.files()}, {compare(DUCK)}, {gates(DUCK)}"
+_TOTALS = "SELECT app, " + ", ".join(f"CAST(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{s.lower()}" for s in ("FAIL", "warn")) + ", max(CASE WHEN severity = 'FAIL' THEN 1 ELSE 0 END) AS exit_code FROM {} b GROUP BY app"
 
 
-@query
-def gate_findings(d):
-    return f"WITH {fixtures.files()}, {_whole(d)} SELECT app, rule, severity, detail FROM checked"
+def check_projects(spark: SparkSession, files: DataFrame, graded: DataFrame | None = None) -> DataFrame:
+    """``(app, rule, severity, detail)`` of all gates; the comparison's findings are counted in
+    and, where they aren't ``graded`` yet, made first and written."""
+    graded = written(compare_projects(spark, files)) if graded is None else graded
+    return ask(spark, lambda d: f"WITH {projects(d)}, {gates(d)} SELECT app, rule, severity, detail FROM checked", files=files, graded=graded)
 
 
-@query
-def gate_totals(d):
+def project_totals(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Findings of gates and comparison by severity; any FAIL makes the exit code 1."""
-    both = "(SELECT app, severity FROM checked UNION ALL SELECT app, severity FROM graded) b"
-    return f"WITH {fixtures.files()}, {_whole(d)} SELECT app, " + ", ".join(f"CAST(sum(CASE WHEN severity = '{s}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{s.lower()}" for s in ("FAIL", "warn")) + f", max(CASE WHEN severity = 'FAIL' THEN 1 ELSE 0 END) AS exit_code FROM {both} GROUP BY app"
+    graded = written(compare_projects(spark, files))
+    return ask(spark, lambda d: _TOTALS.format("both_"), both_=check_projects(spark, files, graded).unionByName(graded))
+
+
+@plan(f"{_ALL} SELECT app, rule, severity, detail FROM checked")
+def gate_findings(spark, sf_dir):
+    return check_projects(spark, spark.sql(f"WITH {fixtures.files()} SELECT * FROM files"))
+
+
+@plan(f"{_ALL} " + _TOTALS.format("(SELECT app, severity FROM checked UNION ALL SELECT app, severity FROM graded)"))
+def gate_totals(spark, sf_dir):
+    return project_totals(spark, spark.sql(f"WITH {fixtures.files()} SELECT * FROM files"))
 
 
 @query
@@ -123,7 +136,7 @@ def gate_samples(d, most: int = 5):
     """The first lines that match each line rule."""
     tests = ", ".join(f"CASE WHEN {d.rx('line', p)} THEN '{name}' END" for name, p, _ in LINE_RULES)
     rules = f"array({tests})" if d.name == "spark" else f"[{tests}]"
-    return f"""WITH {fixtures.files()}, {compare(d)}, {_lines(d, "src", "sources")}, hits AS (SELECT app, path, pos, line, {d.each(rules)} AS rule FROM src)
+    return f"""WITH {fixtures.files()}, {projects(d)}, {_lines(d, "src", "sources")}, hits AS (SELECT app, path, pos, line, {d.each(rules)} AS rule FROM src)
 SELECT app, rule, path, CAST(pos + 1 AS BIGINT) AS line_number, substr({t.strip(d, "line")}, 1, 110) AS line FROM (SELECT *, row_number() OVER (PARTITION BY app, rule ORDER BY path, pos) AS place FROM hits WHERE rule IS NOT NULL) x WHERE place <= {most}"""
 
 
@@ -134,8 +147,3 @@ def contrast_ratio(d):
     pairs = fixtures.values("pairs", "front, back", [(0, 255), (255, 255), (118, 255), (119, 255), (40, 20), (200, 180)])
     return f"""WITH {pairs}, lit AS (SELECT front, back, {light("front")} AS a, {light("back")} AS b FROM pairs), r AS (SELECT front, back, (greatest(a, b) + 0.05e0) / (least(a, b) + 0.05e0) AS ratio FROM lit)
 SELECT front, back, round(ratio, 4) AS ratio, CASE WHEN ratio >= 4.5e0 THEN 'text' WHEN ratio >= 1.5e0 THEN 'shape' WHEN ratio >= 1.2e0 THEN 'faint' ELSE 'none' END AS band FROM r"""
-
-
-def check_projects(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``(app, rule, severity, detail)`` of all gates and of the comparison."""
-    return ask(spark, lambda d: f"WITH {_whole(d)} SELECT app, rule, severity, detail FROM checked UNION ALL SELECT app, rule, severity, detail FROM graded", files=files)
