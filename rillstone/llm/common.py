@@ -123,12 +123,16 @@ def in_bloom(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
     """``train`` of the whole of ``sample`` (rows of a stated bound), run in one task, so
     that the driver gets no more than what it returns (None for an empty sample)."""
+    import ctypes
     import pickle
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if batches:
             made = pickle.dumps(train(pa.Table.from_batches(batches)))
+            batches.clear()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)  # a Python worker lives on after its task
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
 
     rows = sample.repartition(1).mapInArrow(run, "made binary").collect()

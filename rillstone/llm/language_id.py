@@ -92,7 +92,7 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
 
 
 class Model:
-    """Languages, codewords, per-bucket bit weights, offsets and bit reliabilities."""
+    """Languages, codewords, per-bucket bit weights, offsets and bit reliabilities; ``x`` is used up."""
 
     def __init__(self, names: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 0.3):
         self.names, self.code = names, codewords(len(names))
@@ -100,22 +100,21 @@ class Model:
             self.weights, self.bias, self.trust = np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1)
             return
         spread = np.sqrt(x.mean(0, dtype=np.float64) + 1e-6)
-        z = x / spread.astype(x.dtype)
-        middle = z.mean(0, dtype=np.float64)
-        z -= middle.astype(x.dtype)
+        x /= spread.astype(x.dtype)  # in place: the sample is the task's largest object
+        middle = x.mean(0, dtype=np.float64)
+        x -= middle.astype(x.dtype)
         share = np.bincount(y, minlength=len(names)) / len(y)
-        row = np.sqrt(1 / (share[y] * len(names)))  # every language weighs the same
+        row = np.sqrt(1 / (share[y] * len(names))).astype(x.dtype)  # every language weighs the same
         target = self.code[y]
-        z *= row[:, None].astype(x.dtype)  # in place: the sample is the task's largest object
+        x *= row[:, None]
         wanted = ((target - target.mean(0)) * row[:, None]).astype(x.dtype)
         few = len(y) <= BUCKETS  # the smaller of the two equal forms of ridge regression
-        gram = (z @ z.T if few else z.T @ z).astype(np.float64)
+        gram = (x @ x.T if few else x.T @ x).astype(np.float64)
         gram[np.diag_indices(len(gram))] += ridge
-        w = z.T @ np.linalg.solve(gram, wanted).astype(x.dtype) if few else np.linalg.solve(gram, z.T @ wanted).astype(x.dtype)
-        del z, gram
+        w = x.T @ np.linalg.solve(gram, wanted).astype(x.dtype) if few else np.linalg.solve(gram, x.T @ wanted).astype(x.dtype)
         self.bias = target.mean(0) - middle @ w
         self.weights = w / spread[:, None]
-        right = ((x @ self.weights.astype(x.dtype) + self.bias) * target > 0).mean(0)
+        right = ((x @ w.astype(x.dtype) / row[:, None] + target.mean(0)) * target > 0).mean(0)
         self.trust = np.clip(2 * right - 1, 0.05, 1)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
