@@ -93,10 +93,10 @@ def _item(i: int):
 
 
 def with_posteriors(documents: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """``documents`` with ``n_tokens`` and ``posteriors`` (in the order of ``model.domains``)."""
-    k = len(model.domains)
+    """``row`` (the document's columns), ``n_tokens`` and ``posteriors`` (in the order of ``model.domains``)."""
+    k, columns = len(model.domains), documents.columns
     names = F.array(*[F.lit(w) for w in model.words]) if model.words else F.array().cast("array<string>")
-    read = documents.withColumn("_words", tokens(F.col(text_col))).withColumn("_distinct", F.array_distinct("_words"))
+    read = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), tokens(F.col(text_col)).alias("_words")).withColumn("_distinct", F.array_distinct("_words"))
     read = read.withColumn("n_tokens", F.size("_words").cast("long")).withColumn("_variety", _variety(F.size("_distinct"), F.size("_words")))
     read = read.withColumn("_seen", F.array_intersect("_distinct", names)).drop("_words", "_distinct")
     if model.words:
@@ -112,7 +112,7 @@ def with_posteriors(documents: DataFrame, model: Classifier, text_col: str = "te
     shifted = F.transform("_log", lambda x: F.exp(x - F.array_max("_log")))
     read = read.withColumn("_e", shifted)
     share = F.transform("_e", lambda x: F.round(x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b), 3))
-    return read.withColumn("posteriors", share).drop("_variety", "_seen", "_log", "_e")
+    return read.select("row", "n_tokens", share.alias("posteriors"))
 
 
 def _state(errors: list[list[float]], momenta: list[float], start: Column | None = None, column: str = "posteriors") -> Column:
@@ -186,7 +186,7 @@ def mix(documents: DataFrame, domains: DataFrame, targets: dict[str, float] | No
     rate = fit_rates(weighed, model.domains, TARGETS if targets is None else targets)
     top = F.array_max("posteriors")
     name = F.array(*[F.lit(d) for d in model.domains])[(F.array_position("posteriors", top) - 1).cast("int")]
-    return weighed.select(*documents.columns, name.alias("domain"), top.alias("posterior"), "n_tokens", "posteriors", rate.alias("rate"))
+    return weighed.select("row.*", name.alias("domain"), top.alias("posterior"), "n_tokens", "posteriors", rate.alias("rate"))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
