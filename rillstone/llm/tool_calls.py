@@ -15,7 +15,7 @@ canonical JSON: keys sorted, no white space.
 
 ``problems`` of a turn, sorted: ``orphan`` (a result without a call), ``unanswered``
 (a call without a result), ``duplicate`` (an identifier used by several calls or
-several results of a conversation), ``no id``, ``unknown tool``, ``missing:<name>``,
+several results of a conversation), ``no id``, ``no name``, ``unknown tool``, ``missing:<name>``,
 ``unexpected:<name>``, ``type:<name>``, ``cycle`` (it depends on itself; a turn that
 only comes after a circle has no such problem).  Dependencies inside a circle don't
 count for levels.  Chains of any length are followed: runs of turns with one dependency
@@ -85,9 +85,8 @@ def format_chats(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     variant = F.try_parse_json(F.when(F.ltrim("text").startswith("{"), F.col("text")))
     turns = turns.withColumn("v", variant)
     get = lambda path, kind: F.try_variant_get("v", path, kind)
-    name = get("$.call.name", "string")
-    answer = get("$.result", "variant")
-    kind = F.when(name.isNotNull(), "call").when(answer.isNotNull() & F.schema_of_variant(answer).startswith("OBJECT"), "result").otherwise("message")
+    name, call, answer = get("$.call.name", "string"), get("$.call", "variant"), get("$.result", "variant")
+    kind = F.when(call.isNotNull() & F.schema_of_variant(call).startswith("OBJECT"), "call").when(answer.isNotNull() & F.schema_of_variant(answer).startswith("OBJECT"), "result").otherwise("message")
     read = turns.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "text", kind.alias("kind"), name.alias("name"),
                         F.when(kind == "call", get("$.call.id", "string")).when(kind == "result", get("$.result.id", "string")).alias("call_id"),
                         F.when(kind == "call", F.coalesce(F.to_json(get("$.call.arguments", "variant")), F.lit("{}"))).alias("arguments"),
@@ -129,7 +128,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     bad = given.join(known, "name").join(expected, ["name", "parameter"], "left").select("row", F.when(F.col("type").isNull(), F.concat(F.lit("unexpected:"), "parameter")).when(F.col("type") != F.col("is"), F.concat(F.lit("type:"), "parameter")).alias("problem"))
     asked = calls.join(expected.where("required"), "name").select("row", "parameter")
     missing = asked.join(given.select("row", "parameter"), ["row", "parameter"], "left_anti").select("row", F.concat(F.lit("missing:"), "parameter").alias("problem"))
-    unknown = calls.join(known, "name", "left_anti").select("row", F.lit("unknown tool").alias("problem"))
+    unknown = calls.where("name IS NOT NULL").join(known, "name", "left_anti").select("row", F.lit("unknown tool").alias("problem"))
     circle = cyclic.select("row", F.lit("cycle").alias("problem"))
     faults = bad.where("problem IS NOT NULL").unionByName(missing).unionByName(unknown).unionByName(circle).groupBy("row").agg(F.collect_set("problem").alias("faults"))
 
@@ -138,12 +137,14 @@ def format_chats(conversations: DataFrame, schemas: DataFrame) -> DataFrame:
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     loose = F.array_compact(F.array(
         F.when(~(F.col("kind") == "message") & F.col("call_id").isNull(), "no id"),
+        F.when(is_call & F.col("name").isNull(), "no name"),
         F.when(is_result & F.col("call_id").isNotNull() & (F.coalesce("calls", F.lit(0)) == 0), "orphan"),
         F.when(is_call & F.col("call_id").isNotNull() & (F.coalesce("results", F.lit(0)) == 0), "unanswered"),
         F.when((is_call & (F.col("calls") > 1)) | (is_result & (F.col("results") > 1)), "duplicate")))
     problems = F.array_sort(F.concat(loose, F.coalesce("faults", F.array().cast("array<string>"))))
     text = lambda c: F.coalesce(F.to_json(F.col(c).cast("variant")), F.lit("null"))  # noqa: E731  a JSON string
-    json = (F.when(is_call, F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"role":'), text("role"), F.lit("}")))
+    after = F.when(F.col("after").isNotNull(), F.concat(F.lit('"after":'), F.to_json("after"), F.lit(","))).otherwise("")
+    json = (F.when(is_call, F.concat(F.lit("{"), after, F.lit('"arguments":'), "arguments", F.lit(',"id":'), text("call_id"), F.lit(',"name":'), text("name"), F.lit(',"role":'), text("role"), F.lit("}")))
             .when(is_result, F.concat(F.lit('{"content":'), "content", F.lit(',"id":'), text("call_id"), F.lit(',"role":'), text("role"), F.lit("}")))
             .otherwise(F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.coalesce("text", F.lit("")).cast("variant")), F.lit('""')), F.lit(',"role":'), text("role"), F.lit("}"))))
     return out.select("conv_id", "turn", "role", "kind", "call_id", F.when(is_call, F.col("result_turn")).when(is_result, F.col("call_turn")).alias("partner"),

@@ -276,11 +276,11 @@ def test_forest(spark):
 
 def test_mixing_reaches_targets(spark):
     rows = [(i, ("bad worse " * 20 if i % 4 == 0 else "fine good words " * 15) + str(i)) for i in range(200)] + [(None, None), (900, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rate", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rate", F.lit("clash")).withColumns({c: F.lit("clash") for c in ("_words", "_e", "_seen", "row", "word")})
     labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 200, 2)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, mixing.label_domains(labels), {"clean": 0.5, "low": 0.5})
     sums = out.agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("rate") * F.col("posteriors")[0]), F.min("rate")).first()
-    assert sums[1] / sums[0] == pytest.approx(0.5, abs=1e-3) and sums[2] >= 0 and out.count() == 202
+    assert sums[1] / sums[0] == pytest.approx(0.5, abs=1e-3) and sums[2] >= 0 and out.count() == 202 and out.where("_words = 'clash' AND _e = 'clash'").count() == 202
 
 
 @pytest.mark.parametrize("cells", [
@@ -307,9 +307,12 @@ def test_tool_calls(spark):
         (1, 0, "user", "hello \"you\""), (1, 1, "assistant", '{"call": {"id": "a", "name": "search", "arguments": {"query": "x", "limit": "3"}}}'),
         (1, 2, "tool", '{"result": {"id": "a", "content": {"z": 1, "b": [true, null]}}}'), (1, 3, "assistant", '{"call": {"id": "b", "name": "fetch", "arguments": {"link": "u"}, "after": ["a"]}}'),
         (1, 4, "tool", '{"result": {"id": "q", "content": "none"}}'), (2, 0, None, None), (None, 1, "user", "{broken"), (2, 1, "assistant", '{"call": {"id": "c", "name": "nope"}}'),
+        (4, 0, "assistant", '{"call": {"id": "d"}}'), (4, 1, "tool", '{"result": {"id": "d"}}'), (4, 2, "tool", '{"result": {"id": "d"}}'), (4, 3, "assistant", '{"call": {"name": "search", "arguments": {"query": "x"}}}'), (4, 3, "assistant", '{"call": {"name": "search", "arguments": {"query": "x"}}}'),
     ]
     out = {(r.conv_id, r.turn): r for r in tool_calls.report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert len(out) == 8
+    assert len(out) == 12  # of 13 turns two are equal
+    assert out[4, 0].problems == ["no name"] and out[4, 1].problems == out[4, 2].problems == ["duplicate"] and out[4, 3].problems == ["no id"]
+    assert out[1, 3].json == '{"after":["a"],"arguments":{"link":"u"},"id":"b","name":"fetch","role":"assistant"}'
     assert out[1, 1].problems == ["type:limit"] and out[1, 1].partner == 2 and out[1, 1].json == '{"arguments":{"limit":"3","query":"x"},"id":"a","name":"search","role":"assistant"}'
     assert out[1, 2].json == '{"content":{"b":[true,null],"z":1},"id":"a","role":"tool"}' and out[1, 2].level == 1 and out[1, 3].level == 2
     assert out[1, 3].problems == ["missing:url", "unanswered", "unexpected:link"] and out[1, 4].problems == ["orphan"]
@@ -356,6 +359,33 @@ def test_held_out_accuracy(spark):
     assert lang > 0.95 and right > 0.9
 
 
+def test_languages_of_any_number(spark):
+    rng = np.random.default_rng(2)
+    made = [(f"l{k}", "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5))) for k in range(70)]
+    rows = [(10 * k + j, " ".join([w] * (j + 3)), name) for k, (name, w) in enumerate(made) for j in range(9)] + [(9001, "² ½ 3 ", "l1"), (9002, "七", "l2")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").where("doc_id < 9000"))
+    assert len(model.names) == 70
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    got = language_id.predict(docs, model).collect()
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id > 9000}[9001] == "und" and [r for r in got if r.doc_id == 9002][0].lang_pred != "und"
+    assert np.mean([r.lang == r.lang_pred for r in got if r.doc_id < 9000]) > 0.95
+
+
+def test_quality_without_unlabelled_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left_semi")
+    docs = docs.unionByName(docs.limit(20)).withColumn("quality", F.lit("clash"))
+    scores = quality.report(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet")).agg(F.countDistinct("score"), F.count("*")).first()
+    assert scores[0] > 100 and scores[1] == docs.count()
+
+
+def test_one_of_each_keeps_unlike_texts(spark):
+    a, b = prose(11, 60), prose(12, 60, ("other", "words", "here", "and", "there", "now"))
+    rows = [(1, a), (1, b), (1, a), (None, a), (None, b + " x"), (2, a), (3, ""), (3, ""), (4, None)]
+    left = [tuple(r) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).select("doc_id", "text")).collect()]
+    assert sum(x == a for _, x in left) == 1 and sum((x or "").startswith(b) for _, x in left) == 1
+    assert sorted(left, key=str)[-2:] == [(3, ""), (4, None)] or {(3, ""), (4, None)} <= set(left) and len(left) == 4
+
+
 def test_empty_tables(spark, docs):
     none, labels = docs.where("false"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (decontaminate.report(none, spark.createDataFrame([], "item_id long, text string")), jaccard_join.report(none), license_scan.report(none), line_dedup.report(none),
