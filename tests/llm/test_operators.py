@@ -102,7 +102,9 @@ def test_licenses_of_several_notices(spark):
     notices = ["Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0", "This work is licensed under the GNU General Public License version 3", "All rights reserved.", "Released under the MIT License"]
     rows = [(m, " x y ".join(n for j, n in enumerate(notices) if m >> j & 1)) for m in range(32)]
     rows += [(32 + i, f"{x} all rights reserved of {n}") for i, (x, n) in enumerate(zip(["by nc cc", "gnu version", "apache mit", "2 0 nc", "this work"], notices))]
-    rows += [(40, " and ".join(reversed(notices)) * 3), (41, "gnu general public license version 3, mit license, cc by nc"), (42, None)] + [(50 + i, "under the license this is work") for i in range(9)]
+    rows += [(40, " and ".join(reversed(notices)) * 3), (41, "gnu general public license version 3, mit license, cc by nc"), (42, None)]
+    rows += [(60 + i, f"x {t} y") for i, (t, _, _) in enumerate(license_scan.TEMPLATES)] + [(80 + i, f"{k} and gnu lesser general public license, this program is free software") for i, (_, _, k) in enumerate(license_scan.TEMPLATES)]
+    rows += [(50 + i, "under the license this is work") for i in range(9)]
     got = {r.id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     words = {i: ALNUM.findall((x or "").translate(LOW)) for i, x in rows}
     vocabulary = {w for t, _, _ in license_scan.TEMPLATES for w in t.split()}
@@ -378,6 +380,15 @@ def test_quality_without_unlabelled_rows(spark):
     assert scores[0] > 100 and scores[1] == docs.count()
 
 
+def test_quality_features_are_a_texts_own():
+    texts_ = ["ab", "X. y", "", "7", "long text of\nwords, words", "é"]
+    whole = [x.encode() for x in texts_]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in whole])])
+    together = quality.features(np.frombuffer(b"".join(whole), np.uint8), offsets)
+    for row, x in zip(together, whole):
+        assert np.allclose(quality.features(np.frombuffer(x, np.uint8), np.array([0, len(x)])), row)
+
+
 def test_one_of_each_keeps_unlike_texts(spark):
     a, b = prose(11, 60), prose(12, 60, ("other", "words", "here", "and", "there", "now"))
     rows = [(1, a), (1, b), (1, a), (None, a), (None, b + " x"), (2, a), (3, ""), (3, ""), (4, None)]
