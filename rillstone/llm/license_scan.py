@@ -35,9 +35,17 @@ TEMPLATES = [
     ("licensed under cc by nc 4 0", "cc-by-nc", "cc by nc"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3", "gnu general public license version 3"),
     ("all rights reserved", "all-rights-reserved", "all rights reserved"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit", "permission is hereby granted free of charge"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2", "use this file except in compliance with the license"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", "redistribution and use in source and binary forms"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the", "gpl", "this program is free software"),
+    ("under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl", "gnu lesser general public license"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", "mozilla public license"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered software released into the public domain"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "cc by sa"),
 ]
 _VOCABULARY = sorted({w for t, _, _ in TEMPLATES for w in t.split()} | {w for p in BASE for w in p.split()})
-_CODE = {w: chr(ord("A") + i) for i, w in enumerate(_VOCABULARY)}  # one ASCII character each, never "."
+_CODE = {w: chr(0x100 + i) for i, w in enumerate(_VOCABULARY)}  # one character each
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -98,7 +106,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
     # The positional index: a posting for each template word, and one of two votes for
     # each mandatory phrase, whose places get a mark in place of their first word.
-    marks = {t: chr(ord("a") + t) for t in range(len(TEMPLATES))}
+    marks = {t: chr(0x400 + t) for t in range(len(TEMPLATES))}
     index = [(_CODE[w], t, i, 1) for t, (text_, _, _) in enumerate(TEMPLATES) for i, w in enumerate(text_.split())]
     index += [(marks[t], t, _key_at(text_, key), 2) for t, (text_, _, key) in enumerate(TEMPLATES)]
     postings = spark.createDataFrame(index, "code string, template int, at int, weight int")
