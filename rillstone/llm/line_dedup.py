@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import Settled
 
 
-PASSAGE = 40  # words (runs between spaces) that make a line a passage; below 50, as words may be counted otherwise
+PASSAGE = 40  # words (runs between spaces) that make a line a paragraph of its own
 
 
 def _wide(line: Column) -> Column:
