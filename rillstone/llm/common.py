@@ -53,12 +53,22 @@ def settle(df: DataFrame) -> DataFrame:
     return Settled(df).df
 
 
+def give_back() -> None:
+    """Hand freed memory to the system: a Python worker lives on after its task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over single batches; ``step`` yields any number of batches."""
 
     def run(batches):
         for batch in batches:
             yield from step(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -123,7 +133,6 @@ def in_bloom(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
     """``train`` of the whole of ``sample`` (rows of a stated bound), run in one task, so
     that the driver gets no more than what it returns (None for an empty sample)."""
-    import ctypes
     import pickle
 
     def run(batches):
@@ -131,8 +140,7 @@ def fitted(sample: DataFrame, train: Callable[[pa.Table], object]) -> object:
         if batches:
             made = pickle.dumps(train(pa.Table.from_batches(batches)))
             batches.clear()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)  # a Python worker lives on after its task
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["made"])
 
     rows = sample.repartition(1).mapInArrow(run, "made binary").collect()
