@@ -152,6 +152,23 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     assert r[0] > r[1]
 
 
+def test_lm_pieces_of_words():
+    rng = np.random.default_rng(7)
+    bits = [b"river", b"stone", b"\xc3\xa4", b"\xe6\xb0\xb4", b"\xff", b"\xe6\xb0", b"7", b"-", b"x"]
+    words = sorted({b"".join(bits[i] for i in rng.integers(0, len(bits), n)) for n in (1, 2, 3, 9) for _ in range(60)})
+    pieces = lm_score.Pieces(lm_score.VOCABULARY, most=150)  # so that it forgets, too
+    alone = lambda w: pieces.coder.encode_ordinary(" " + w.decode("utf-8", "replace"))
+    for _ in range(6):
+        some = [words[i] for i in sorted(rng.choice(len(words), 80, replace=False))]
+        ends = np.cumsum([len(w) + 1 for w in some]) - 1
+        hashes = np.array([zlib.crc32(w) for w in some], np.uint64)
+        order = np.argsort(hashes)
+        flat, borders = pieces.ids(hashes[order], np.frombuffer(b" ".join(some), np.uint8), (ends - [len(w) for w in some])[order], ends[order])
+        assert [flat[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])] == [alone(some[i]) for i in order]
+    flat, borders = pieces.ids(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert not len(flat) and borders.tolist() == [0]
+
+
 def _lm(words):
     """A model over made-up ids: words are lists of ids, of which ids below 50 begin a word."""
     begins = np.arange(100) < 50
