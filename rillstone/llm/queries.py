@@ -1,10 +1,10 @@
-"""The registered queries of the ten training-data operators."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, forest, jaccard_join, language_id, license_scan, line_dedup, lm_score, mixing, quality, tool_calls
+from . import collocations, decontaminate, forest, jaccard_join, language_id, license_scan, line_dedup, lm_score, mixing, quality, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.report(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, op12_collocations, pipeline)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"list_filter(regexp_split_to_array({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
@@ -82,5 +86,17 @@ links AS (SELECT a.row_ AS x, b.row_ AS y FROM own a JOIN own b ON a.g = b.g AND
 reach AS (SELECT row_ AS x, row_ AS y FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id FROM docs d JOIN reach r ON r.x = d.row_ JOIN docs o ON o.row_ = r.y LEFT JOIN sizes s ON s.row_ = d.row_ GROUP BY d.row_, d.doc_id"""
 
+_PHRASES = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM said GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM said JOIN (VALUES (1), (2), (3)) z(k) ON len(w) >= k) x) y GROUP BY lang, k, phrase),
+parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT p.lang, p.k, p.phrase, p.a, c.cut, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * p.a * p.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM parts p JOIN (VALUES (1), (2)) c(cut) ON c.cut < p.k JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.w[1:c.cut], ' ') JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.w[c.cut + 1:p.k], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts) z WHERE place = 1),
+inside AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM parts WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM parts WHERE k = 3) z GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100 * i.b >= 50 * b.a, FALSE))
+SELECT * FROM (SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, CAST(score AS BIGINT) AS score FROM kept k JOIN total t ON t.lang = k.lang) z WHERE rank <= 2000"""
+
 #: DuckDB SQL of the queries that SQL can express: statements of the contracts, not of the methods.
-ORACLE: dict[str, str] = {"op1_decontaminate": _LEAKS, "op9_jaccard_join": _NEAR}
+ORACLE: dict[str, str] = {"op1_decontaminate": _LEAKS, "op9_jaccard_join": _NEAR, "op12_collocations": _PHRASES}
