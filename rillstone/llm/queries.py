@@ -89,10 +89,11 @@ SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, min(o.doc_
 _PHRASES = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
 said AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
 total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM said GROUP BY lang),
-f AS (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM said JOIN (VALUES (1), (2), (3)) z(k) ON len(w) >= k) x) y GROUP BY lang, k, phrase),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, k, w, unnest(generate_series(1, len(w) - k + 1)) AS i FROM said JOIN (VALUES (1), (2), (3)) z(k) ON len(w) >= k) x) y GROUP BY lang, k, phrase),
 parts AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
-cuts AS (SELECT p.lang, p.k, p.phrase, p.a, c.cut, x.a AS l, y.a AS r, (CAST(1000000 AS HUGEINT) * p.a * p.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
-  FROM parts p JOIN (VALUES (1), (2)) c(cut) ON c.cut < p.k JOIN f x ON x.lang = p.lang AND x.phrase = array_to_string(p.w[1:c.cut], ' ') JOIN f y ON y.lang = p.lang AND y.phrase = array_to_string(p.w[c.cut + 1:p.k], ' ')),
+halves AS MATERIALIZED (SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:k], ' ') AS y FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM parts) z),
+left_ AS MATERIALIZED (SELECT h.*, f.a AS l FROM halves h JOIN f ON f.lang = h.lang AND f.phrase = h.x),
+cuts AS (SELECT h.*, f.a AS r, (CAST(1000000 AS HUGEINT) * h.a * h.a) // (CAST(h.l AS HUGEINT) * f.a) AS score FROM left_ h JOIN f ON f.lang = h.lang AND f.phrase = h.y),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM cuts) z WHERE place = 1),
 inside AS (SELECT lang, phrase, max(a) AS b FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM parts WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM parts WHERE k = 3) z GROUP BY lang, phrase),
 kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE NOT coalesce(100 * i.b >= 50 * b.a, FALSE))

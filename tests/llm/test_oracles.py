@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_twin(spark, name):
     con = duckdb.connect()
+    con.execute("SET max_temp_directory_size = '2GB'")
     for f in os.listdir(SF):
         con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{SF}/{f}'")
     twin = con.execute(queries.ORACLE[name])
