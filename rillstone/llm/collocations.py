@@ -36,7 +36,7 @@ from . import wordbytes
 from .common import Settled, bloom, bloom_size, give_back, in_bloom
 
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
-BLOCK, KEYS = 8 << 20, 4 << 20
+BLOCK, KEYS = 3 << 20, 2 << 20
 _CODES = np.arange(256)
 CUT = np.isin(_CODES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 WORD = ~(CUT | (_CODES == 32) | (_CODES == 9))
@@ -89,8 +89,8 @@ def inverted_lists(texts: DataFrame) -> DataFrame:
 class _Block:
     """One row of the inverted lists: words, their hashes, and which word stands at each position."""
 
-    def __init__(self, lang: str, words: bytes, lengths: bytes, steps: bytes):
-        self.bytes, self.lengths = np.frombuffer(words, np.uint8), np.frombuffer(lengths, np.int32).astype(np.int64)
+    def __init__(self, lang: str, words, lengths, steps=None):
+        self.lang, self.bytes, self.lengths = lang, np.frombuffer(words, np.uint8), np.frombuffer(lengths, np.int32).astype(np.int64)
         seed = np.uint64(zlib.crc32(lang.encode()) * 0x9E3779B97F4A7C15 % (1 << 64))
         self.hashes = wordbytes.mix(wordbytes.words(self.bytes, np.array([0, len(self.bytes)]), WORD)[0] ^ seed)
         self.steps = steps
@@ -128,6 +128,12 @@ class _Block:
             yield k, here, keys, owner
 
 
+def _blocks(batch: pa.RecordBatch):
+    """The blocks of a batch, one at a time and without a copy of their bytes."""
+    for i in range(batch.num_rows):
+        yield _Block(batch.column(0)[i].as_py(), *(c[i].as_buffer() for c in batch.columns[1:]))
+
+
 def _added(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -151,8 +157,7 @@ def _frequent(lists: DataFrame, filters: list, k: int, least: int, slices: int)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut), (pa.int64(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                block = _Block(row["lang"], row["words"], row["lengths"], row.get("steps"))
+            for block in _blocks(batch):
                 if k == 1:
                     keys, counts = block.hashes, np.minimum(block.lengths, least)
                 else:
@@ -211,8 +216,8 @@ def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                block, lang = _Block(row["lang"], row["words"], row["lengths"], row["steps"]), row["lang"]
+            for block in _blocks(batch):
+                lang = block.lang
                 words = block.words()
                 keep = np.flatnonzero(in_bloom(filters[0], block.hashes))
                 yield out(lang, 1, words.take(pa.array(keep)), block.lengths[keep])
