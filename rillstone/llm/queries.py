@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, forest, heavy_hitters, jaccard_join, language_id, license_scan, line_dedup, lm_score, mixing, quality, tool_calls
+from . import collocations, cover_tree, decontaminate, forest, heavy_hitters, jaccard_join, language_id, license_scan, line_dedup, lm_score, mixing, quality, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,13 +59,17 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.report(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, op11_heavy_hitters, op12_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_mixing, op4_tool_calls, op5_line_dedup, op6_language, op7_forest, op8_license_scan, op9_jaccard_join, op10_lm_score, op11_heavy_hitters, op12_collocations, op13_cover_tree, pipeline)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"list_filter(regexp_split_to_array({_LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
