@@ -36,7 +36,7 @@ from .common import Settled, bloom, give_back, in_bloom
 
 SHARE, WIDTH = 10, 40
 ROWS, COLUMNS, COUNTERS = 2, 64, WIDTH
-SLICES, SLICE_ROWS = 4096, 1 << 16
+SLICES, SLICE_ROWS = 4096, 1 << 14
 FLUSH, BLOOM_BITS = 1 << 20, 1 << 24
 _CELLS = "stream string, grp long, cell int, item string, votes long, total long"
 _COUNTED = "stream string, grp long, item string, c long"
@@ -213,8 +213,9 @@ def heavy_hitters(entries: DataFrame, share: int = SHARE, width: int = WIDTH) ->
     own = held.df
     totals = Settled(own.groupBy(*_GROUP).agg(F.count("*").alias("n_entries"), F.sum("w").alias("total"))).df
     most = max((totals.agg(F.sum("n_entries")).first()[0] or 0) // SLICES, SLICE_ROWS)
-    large = F.broadcast(totals.where(F.col("n_entries") > most).select(*_GROUP, F.ceil(F.col("n_entries") / most).alias("slices")))  # fewer than SLICES rows
-    sliced = own.join(large, _GROUP, "left").withColumn("slice", F.pmod(F.hash(F.monotonically_increasing_id()), F.coalesce("slices", F.lit(1))))
+    large = totals.where(F.col("n_entries") > most).select(*_GROUP, F.ceil(F.col("n_entries") / most).alias("slices"))  # fewer than SLICES rows
+    none = own.sparkSession.createDataFrame([(None, None, 1)], "stream string, grp long, slices long")  # so that the plan is the same where no group is large
+    sliced = own.join(F.broadcast(large.unionByName(none)), _GROUP, "left").withColumn("slice", F.pmod(F.hash(F.monotonically_increasing_id()), F.coalesce("slices", F.lit(1))))
     cells = _grids(sliced.repartition("stream", "grp", "slice"))
     judged = Settled(_judged(_merged(cells), totals.select(*_GROUP, "total"), share, width)).df
     sure = judged.where("sure").select(*_GROUP, F.explode("possible").alias("p"))
