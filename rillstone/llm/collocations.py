@@ -36,7 +36,7 @@ from . import wordbytes
 from .common import Settled, bloom, bloom_size, give_back, in_bloom
 
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
-BLOCK, KEYS = 3 << 20, 2 << 20
+BLOCK, KEYS, GROUP = 256 << 10, 2 << 20, 4 << 20  # rows and row groups small enough for a heap of regions
 _CODES = np.arange(256)
 CUT = np.isin(_CODES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 WORD = ~(CUT | (_CODES == 32) | (_CODES == 9))
@@ -211,16 +211,22 @@ def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
     """``(lang, k, phrase, n)``: lengths of the lists that pass the filters, for each block."""
 
     def run(batches):
-        def out(lang, k, phrases, n):
-            size = len(phrases)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * size, pa.string()), pa.array(np.full(size, k, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
+        held, size = [], 0
+
+        def table(lang, k, phrases, n):
+            return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "k": np.full(len(phrases), k, np.int32), "phrase": phrases.cast(pa.string()), "n": n.astype(np.int64)})
+
+        def out():
+            if held:
+                sums = pa.TableGroupBy(pa.concat_tables(held), ["lang", "k", "phrase"]).aggregate([("n", "sum")])
+                held.clear()
+                yield from sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"]).to_batches(1 << 16)
 
         for batch in batches:
             for block in _blocks(batch):
-                lang = block.lang
                 words = block.words()
                 keep = np.flatnonzero(in_bloom(filters[0], block.hashes))
-                yield out(lang, 1, words.take(pa.array(keep)), block.lengths[keep])
+                held.append(table(block.lang, 1, words.take(pa.array(keep)), block.lengths[keep]))
                 for k, here, keys, owner in block.levels(filters, most):
                     if not len(here):
                         continue
@@ -228,7 +234,12 @@ def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
                     said = np.stack([owner[here[order] + i] for i in range(k)])
                     head = np.flatnonzero(np.r_[True, (said[:, 1:] != said[:, :-1]).any(axis=0)])
                     parts = [words.take(pa.array(said[i, head])) for i in range(k)]
-                    yield out(lang, k, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), np.diff(np.r_[head, said.shape[1]]))
+                    held.append(table(block.lang, k, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), np.diff(np.r_[head, said.shape[1]])))
+                size += sum(t.num_rows for t in held[-most:])
+                if size > KEYS // 2:
+                    yield from out()
+                    size = 0
+        yield from out()
         give_back()
 
     return lists.select("lang", "words", "lengths", "steps").mapInArrow(run, "lang string, k int, phrase string, n long")
@@ -236,9 +247,9 @@ def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
 
 def phrases(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to ``most`` words that occur ``least`` times, ``(lang, k, phrase, a)``, and the words of each language, ``(lang, n)``."""
-    lists = Settled(inverted_lists(texts), 32 << 20)
+    lists = Settled(inverted_lists(texts), GROUP)
     spoken = Settled(lists.df.groupBy("lang").agg(F.sum("n").alias("n"))).df
-    slices = 1 + (spoken.agg(F.sum("n")).first()[0] or 0) // KEYS
+    slices = 1 + (spoken.agg(F.sum("n")).first()[0] or 0) // (KEYS // 4)
     filters: list = []
     for k in range(1, most + 1):
         filters.append(_frequent(lists.df, filters, k, least, slices))
