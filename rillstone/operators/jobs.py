@@ -22,8 +22,8 @@ SELECT lane, CAST(place AS INT) AS place, job FROM (SELECT job, lane, row_number
 
 @query
 def lessons_frequency(d):
-    kind = d.rx_one("props", '"k": *([0-9]+)', 1)
     """Lessons by frequency; only distinct lessons are ranked in one task."""
+    kind = d.rx_one("props", '"k": *([0-9]+)', 1)
     return f"SELECT lesson, n, n >= 3 AS repeats, CAST(row_number() OVER (ORDER BY n DESC, lesson DESC) AS INT) AS place FROM (SELECT event_type || ' ' || {kind} AS lesson, count(*) AS n FROM events GROUP BY event_type || ' ' || {kind}) x"
 
 
@@ -35,7 +35,9 @@ def digest_16h(d):
 
 @query
 def latest_state(d):
-    return "SELECT user_id, event_type AS state, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) x WHERE place = 1"
+    if d.name == "duck":
+        return "SELECT user_id, event_type AS state, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) x WHERE place = 1"
+    return "SELECT user_id, e.event_type AS state, e.event_id FROM (SELECT user_id, max_by(struct(event_type, event_id), struct(ts, event_id)) AS e FROM events GROUP BY user_id) x"
 
 
 @query
@@ -52,8 +54,13 @@ def retention_keep_40(d):
 
 @query
 def stuck_detector(d):
-    """Two equal signatures in a row, at least five minutes apart."""
-    return f"SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, {d.seconds('ts')} AS s, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lag({d.seconds('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prior_s FROM events) x WHERE before = event_type AND s - prior_s >= 300"
+    """Restarts due: the same signature at two sightings in a row, five minutes apart or more; a
+    restart starts over, so of a run of equal signatures every second sighting counts."""
+    w = "PARTITION BY user_id ORDER BY ts, event_id"
+    return f"""WITH seen AS (SELECT user_id, event_id, event_type, ts, {d.seconds('ts')} AS s, lag({d.seconds('ts')}) OVER ({w}) AS prior_s, lag(event_type) OVER ({w}) AS before FROM events),
+runs AS (SELECT *, sum(CASE WHEN before = event_type THEN 0 ELSE 1 END) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM seen),
+placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS place FROM runs)
+SELECT user_id, event_id FROM placed WHERE place % 2 = 0 AND s - prior_s >= 300"""
 
 
 @query

@@ -136,10 +136,11 @@ SELECT job, stage, CAST(floor(seconds / 60) AS BIGINT) AS minutes, n_files < 8 O
 
 @query
 def stuck_panes(d):
-    """A restart is due where a screen that asks is the same twice in a row; a screen that
-    doesn't ask, or differs, starts over."""
-    return f"""WITH {f.values("panes", "minute, last_line, shown", [(m, x, s) for m, x, s in f.PANE])}, signs AS (SELECT minute, CASE WHEN {d.rx("last_line", "(?i)do you want|proceed|[(]y/n[)]")} THEN md5(last_line) END AS sign FROM panes)
-SELECT minute, sign FROM (SELECT minute, sign, lag(sign) OVER (ORDER BY minute) AS before FROM signs) x WHERE sign = before"""
+    """A restart is due where a screen that asks is the same twice in a row; a restart, and a
+    screen that doesn't ask or differs, starts over."""
+    return f"""WITH {f.values("panes", "minute, last_line, shown", [(m, x, s) for m, x, s in f.PANE])}, signs AS (SELECT minute, CASE WHEN {d.rx("last_line", "(?i)do you want|proceed|[(]y/n[)]")} THEN md5(last_line) END AS sign FROM panes),
+runs AS (SELECT minute, sign, sum(CASE WHEN sign = before THEN 0 ELSE 1 END) OVER (ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT minute, sign, lag(sign) OVER (ORDER BY minute) AS before FROM signs) x)
+SELECT minute, sign FROM (SELECT minute, sign, row_number() OVER (PARTITION BY run ORDER BY minute) AS place FROM runs) y WHERE sign IS NOT NULL AND place % 2 = 0"""
 
 
 @query

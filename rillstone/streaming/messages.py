@@ -1,4 +1,4 @@
-"""Streaming forms: routed messages, the latest state by key and stuck signatures.
+"""Streaming forms: routed messages and the latest state by key (timers: ``timers.py``).
 
 Sources are checkpointed, so a restart repeats at most the last micro-batch; sinks
 that overwrite by key make that effectively once.
@@ -6,9 +6,11 @@ that overwrite by key make that effectively once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.versioned import LatestByKey
+
 
 def routed(updates: DataFrame, chat: int, inline: int = 300) -> DataFrame:
     """Messages of one chat with their route; updates without a message drop out."""
@@ -41,36 +43,19 @@ def quarantined(raw: DataFrame, schema: str) -> DataFrame:
     return raw.select(parsed.alias("update"), F.when(F.try_parse_json("value").isNull(), F.col("value")).alias("bad"))
 
 
-def unanswered(messages: DataFrame, replies: DataFrame, cap: str = "240 seconds", late: str = "1 minute") -> DataFrame:
-    """Messages with the first mark of a reply within ``cap``; none after it has passed.
-
-    An outer join of two streams bounded by time: its state holds ``cap`` plus ``late``."""
-    m = messages.select(F.col("message_id"), F.col("ts").alias("asked")).withWatermark("asked", late)
-    r = replies.select(F.col("ts").alias("answered")).withWatermark("answered", late)
-    return m.join(r, F.expr(f"answered >= asked AND answered <= asked + INTERVAL {cap}"), "leftOuter")
+def upsert_latest(batch: DataFrame, number: int, path: str, key: str = "user_id", order: tuple = ("ts", "event_id")) -> None:
+    """A sink for ``foreachBatch``: the newest row of each key, as delta files with versions
+    (see :class:`LatestByKey`); a repeated batch changes nothing.  ``latest`` reads it."""
+    latest_table(batch.sparkSession, path, batch.select(key, *order, "event_type").schema, key, order).put(batch, number)
 
 
-def upsert_latest(batch: DataFrame, path: str, key: str = "user_id", order: tuple = ("ts", "event_id")) -> None:
-    """A sink for ``foreachBatch``: the newest row of each key, replaced as a whole, so that a
-    repeated batch changes nothing."""
-    spark = batch.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at = hadoop.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = batch.select(key, *order, "event_type")
-    if fs.exists(at):
-        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(path))
-    best = rows.groupBy(key).agg(F.max_by(F.struct(*order, "event_type"), F.struct(*order)).alias("r")).select(key, "r.*")
-    new, old = hadoop.Path(path + ".new"), hadoop.Path(path + ".old")
-    best.write.mode("overwrite").parquet(str(new))
-    if fs.exists(at):
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
+def latest_table(spark: SparkSession, path: str, schema, key: str = "user_id", order: tuple = ("ts", "event_id")) -> LatestByKey:
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) if not isinstance(schema, str) else schema
+    return LatestByKey(spark, path, columns, [key], list(order))
 
 
 def scheduled(stream: DataFrame, sink, checkpoint: str, seconds: int | None = None):
-    """Start a query that hands its batches to ``sink``: every ``seconds``, or once over all
+    """Start a query that hands its batches and their numbers to ``sink``: every ``seconds``, or once over all
     that is there.  One query a checkpoint; a second one fails to start."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: sink(batch)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()

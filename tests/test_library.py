@@ -182,7 +182,7 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(UPDATE).json(str(inbox))
-        q = st.scheduled(st.routed(stream, 5), lambda b: b.write.mode("append").json(out), mark)
+        q = st.scheduled(st.routed(stream, 5), lambda b, _: b.write.mode("append").json(out), mark)
         q.awaitTermination(60)
         return sorted((r.update_id, r.route) for r in spark.read.json(out).collect())
 
@@ -206,11 +206,11 @@ def test_latest_state_and_late_rows(spark, tmp_path):
     for name, rows in {"a.json": [("2026-01-01T00:01:00Z", 1, "open", 1), ("2026-01-01T00:02:00Z", 2, "open", 2)], "b.json": [("2026-01-01T05:00:00Z", 1, "done", 3)], "c.json": [("2026-01-01T00:03:00Z", 1, "late", 4), ("2026-01-01T05:01:00Z", 2, "busy", 5)]}.items():
         (inbox / name).write_text("\n".join(json.dumps(dict(zip(("ts", "user_id", "event_type", "event_id"), r))) for r in rows))
         stream = spark.readStream.schema(schema).json(str(inbox))
-        st.scheduled(stream, lambda b: st.upsert_latest(b, kept), mark).awaitTermination(60)
+        st.scheduled(stream, lambda b, n: st.upsert_latest(b, n, kept), mark).awaitTermination(60)
         counted = st.windowed(spark.readStream.schema(schema).json(str(inbox)))
         q = counted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{mark}-w").option("path", f"{kept}-w").trigger(availableNow=True).start()
         q.awaitTermination(60)
-    assert {(r.user_id, r.event_type) for r in spark.read.parquet(kept).collect()} == {(1, "done"), (2, "busy")}  # an older row doesn't win
+    assert {(r.user_id, r.event_type) for r in st.latest_table(spark, kept, schema).read().collect()} == {(1, "done"), (2, "busy")}  # an older row doesn't win
     assert {(r.event_type, r.n) for r in spark.read.parquet(f"{kept}-w").collect()} == {("open", 2)}  # closed by the watermark; the late row is not counted
 
 
