@@ -58,6 +58,9 @@ class CoverTree:
         self.below: list[np.ndarray] = []  # child nodes
         self.members: list[np.ndarray] = []  # all points below
         self.root = self._node(np.arange(len(x)), 0, 2.0, stop) if len(x) else -1
+        self.centres, self.covers = np.array(self.centre, np.int64), np.array(self.cover)
+        self.size = np.array([len(m) for m in self.members], np.int64)
+        self.first, self.flat = np.cumsum(self.size) - self.size, np.concatenate([*self.members, np.zeros(0, np.int64)])
 
     def _node(self, points: np.ndarray, centre: int, scale: float, stop: float) -> int:
         """``points[centre]`` covers all ``points`` within ``scale``; children are centres of half the scale."""
@@ -154,16 +157,31 @@ def pairs_of(a: CoverTree, b: CoverTree, reach: float, exact):
             if upper:
                 near &= part[:, None] < q[None, :]
             i, j = np.nonzero(near)
-            w, d = wide[i, j], d[i, j]
-            sure = d + w <= reach - _EPS
-            sharp = (w == 0) & ~sure
-            sure[sharp] = exact(a, part[i[sharp]], b, q[j[sharp]])
-            i, j = part[i], q[j]
-            np.add.at(links_a, i[sure], b.weight[j[sure]])
-            np.add.at(links_b, j[sure], a.weight[i[sure]])
-            edges.append(np.stack([i[sure], j[sure]], axis=1))
-            dim = ~sure & (w > 0)
-            unclear.append(np.stack([i[dim], j[dim]], axis=1))
+            decide(part[i], q[j])
+
+    def decide(p, q):
+        """Pairs of points, each by itself."""
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a.x[p], b.x[q])))
+        w = a.radius[p] + b.radius[q]
+        near = np.flatnonzero(d - w <= reach + _EPS)
+        p, q, d, w = p[near], q[near], d[near], w[near]
+        sure = d + w <= reach - _EPS
+        sharp = (w == 0) & ~sure
+        sure[sharp] = exact(a, p[sharp], b, q[sharp])
+        np.add.at(links_a, p[sure], b.weight[q[sure]])
+        np.add.at(links_b, q[sure], a.weight[p[sure]])
+        edges.append(np.stack([p[sure], q[sure]], axis=1))
+        dim = ~sure & (w > 0)
+        unclear.append(np.stack([p[dim], q[dim]], axis=1))
+
+    def small(left, right):
+        """Many pairs of nodes with few points, all their points at once."""
+        for part in np.array_split(np.arange(len(left)), max(1, int((a.size[left] * b.size[right]).sum()) >> 18)):
+            n, m = left[part], right[part]
+            each = a.size[n] * b.size[m]
+            at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            wide = np.repeat(b.size[m], each)
+            decide(a.flat[np.repeat(a.first[n], each) + at // wide], b.flat[np.repeat(b.first[m], each) + at % wide])
 
     while stack:
         n, m = stack.pop()
@@ -186,21 +204,22 @@ def pairs_of(a: CoverTree, b: CoverTree, reach: float, exact):
                 continue
             left = a.below[n] if len(a.below[n]) else np.array([n])
             right = b.below[m] if len(b.below[m]) else np.array([m])
-        ca, ra = np.array([a.centre[k] for k in left]), np.array([a.cover[k] for k in left])
-        cb, rb = np.array([b.centre[k] for k in right]), np.array([b.cover[k] for k in right])
         for rows in np.array_split(np.arange(len(left)), max(1, len(left) * len(right) >> 22)):
-            d = _far(a.x[ca[rows]], b.x[cb])
-            wide = ra[rows][:, None] + rb[None, :]
+            d = _far(a.x[a.centres[left[rows]]], b.x[b.centres[right]])
+            wide = a.covers[left[rows]][:, None] + b.covers[right][None, :]
             near = d <= wide + reach + _EPS
             if same and n == m:
                 near &= rows[:, None] <= np.arange(len(right))[None, :]
             i, j = np.nonzero(near)
-            taken = d[i, j] + wide[i, j] <= reach - _EPS
-            for p, q, t in zip(rows[i].tolist(), j.tolist(), taken.tolist()):
-                if t and not (same and left[p] == right[q]):
-                    whole(a.members[left[p]], b.members[right[q]])
+            p, q, taken = left[rows[i]], right[j], d[i, j] + wide[i, j] <= reach - _EPS
+            alone = (p == q) if same else np.zeros(len(p), bool)
+            few = ~alone & (a.size[p] * b.size[q] <= _LEAF * _LEAF)
+            small(p[few], q[few])
+            for k in np.flatnonzero(~few & ~(alone & (a.size[p] == 1))):
+                if taken[k] and not alone[k]:
+                    whole(a.members[p[k]], b.members[q[k]])
                 else:
-                    stack.append((int(left[p]), int(right[q])))
+                    stack.append((int(p[k]), int(q[k])))
     gather = lambda x: np.concatenate(x) if x else np.zeros((0, 2), np.int64)
     if same:
         return links_a + links_b, links_b * 0, gather(edges), gather(unclear)
