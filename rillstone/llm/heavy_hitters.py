@@ -268,7 +268,10 @@ def of_json(clicks: DataFrame) -> DataFrame:
                     found.append(key)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["grp", "item"])
 
-    return clicks.select(F.col("grp").cast("long"), F.col("props").cast("string")).where("grp IS NOT NULL AND props IS NOT NULL").mapInArrow(run, "grp long, item string")
+    named = F.contains("props", F.lit("\\"))  # a name may be spelt with escapes
+    for name in ("device", "tags", "items"):
+        named |= F.contains("props", F.lit(f'"{name}"'))
+    return clicks.select(F.col("grp").cast("long"), F.col("props").cast("string")).where(F.col("grp").isNotNull() & named).mapInArrow(run, "grp long, item string")
 
 
 def report(clicks: DataFrame, sale_lines: DataFrame) -> DataFrame:
