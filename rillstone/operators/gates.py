@@ -16,7 +16,7 @@ from ..plans import fixtures
 from ..plans.dialect import DUCK
 from ..plans.registry import ask, plan, query
 from ..plans.tables import written
-from .fingerprint import compare, compare_projects, projects
+from .fingerprint import compare, compare_projects, projects, said
 
 STRUCT = r"^ *(?:private )?struct ([A-Za-z]+) *:"
 SHEET, CALLED = r"\.(sheet|fullScreenCover)\(", r"\b([A-Z][A-Za-z0-9]*)\("
@@ -72,7 +72,7 @@ def gates(d) -> str:
         ("'orientation'", graded("landscape = 0", "warn"), "''"), ("'labels'", graded("labels >= 20", "warn"), n("labels")), ("'fixed fonts'", graded("fixed <= 20", "warn"), n("fixed")),
         ("'preview'", "CASE WHEN root_view IS NULL OR view_path IS NULL THEN 'warn' WHEN preview = 1 THEN 'ok' ELSE 'FAIL' END", "coalesce(root_view, '')"),
         ("'requirements'", graded("spec = 1", "FAIL"), "''"), ("'response'", f"CASE WHEN response IS NULL THEN 'FAIL' ELSE {length_band('length(response)')} END", n("coalesce(length(response), 0)")),
-        ("'response names the app'", graded("position(lower(app) IN lower(response)) = 0", "FAIL", "response IS NOT NULL"), "''"), ("'response markup'", graded(f"NOT {d.rx('response', markup)}", "FAIL", "response IS NOT NULL"), "''"),
+        ("'response names the app'", graded("position(lower(split_part(app, chr(1), 1)) IN lower(response)) = 0", "FAIL", "response IS NOT NULL"), "''"), ("'response markup'", graded(f"NOT {d.rx('response', markup)}", "FAIL", "response IS NOT NULL"), "''"),
         ("'metadata file'", graded("meta = 1", "warn"), "''"), ("'note heading'", graded("note = 1", "FAIL", "meta = 1"), "''"), ("'support line'", graded("url = 1", "warn", "meta = 1"), "''"),
         ("'build facts'", graded("facts = 1", "warn", "meta = 1"), "''"), ("'saturated'", graded("saturated = 0", "warn"), "''")]
     counted = ", ".join([f"{_count(d, 'line', p)} AS r{i}" for i, (_, p, _) in enumerate(LINE_RULES)])
@@ -100,7 +100,7 @@ docs AS (SELECT p.app, max(CASE WHEN path = 'REQUIREMENTS.md' THEN 1 ELSE 0 END)
 every_ AS (SELECT p.app, c.version, coalesce(c.bid, '') AS bid, coalesce(c.n_bid, 0) AS n_bid, coalesce(c.permission, 0) AS permission, coalesce(c.landscape, 0) AS landscape, coalesce(l.slow, 0) AS slow, coalesce(l.labels, 0) AS labels, coalesce(l.fixed, 0) AS fixed, coalesce(l.glyphs, 0) AS glyphs,
   {", ".join(f"coalesce(l.r{i}, 0) AS r{i}" for i in range(len(LINE_RULES)))}, coalesce(x.glyph_file, 0) AS glyph_file, coalesce(x.cover, 0) AS cover, s.paths AS strays, k.kinds AS torn, r.name AS root_view, v.path AS view_path, coalesce(w.shown, 0) AS preview, o.spec, o.saturated, o.response, o.meta, o.note, o.url, o.facts, coalesce(f.n, 0) AS print_fails
   FROM projects p LEFT JOIN config c ON c.app = p.app LEFT JOIN line_counts l ON l.app = p.app LEFT JOIN present x ON x.app = p.app LEFT JOIN scrolls s ON s.app = p.app LEFT JOIN torn k ON k.app = p.app LEFT JOIN root_view r ON r.app = p.app LEFT JOIN view_file v ON v.app = p.app AND v.kind = r.name
-  LEFT JOIN previews w ON w.app = v.app AND w.path = v.path LEFT JOIN docs o ON o.app = p.app LEFT JOIN (SELECT app, count(*) AS n FROM graded WHERE severity = 'FAIL' GROUP BY app) f ON f.app = p.app),
+  LEFT JOIN previews w ON w.app = v.app AND w.path = v.path LEFT JOIN docs o ON o.app = p.app LEFT JOIN (SELECT {said('app')} AS app, count(*) AS n FROM graded WHERE severity = 'FAIL' GROUP BY {said('app')}) f ON f.app = {said('p.app')}),
 checked AS ({d.findings(rows, "every_")})"""
 
 
@@ -112,7 +112,7 @@ def check_projects(spark: SparkSession, files: DataFrame, graded: DataFrame | No
     """``(app, rule, severity, detail)`` of all gates; the comparison's findings are counted in
     and, where they aren't ``graded`` yet, made first and written."""
     graded = written(compare_projects(spark, files)) if graded is None else graded
-    return ask(spark, lambda d: f"WITH {projects(d)}, {gates(d)} SELECT app, rule, severity, detail FROM checked", files=files, graded=graded)
+    return ask(spark, lambda d: f"WITH {projects(d)}, {gates(d)} SELECT {said('app')} AS app, rule, severity, detail FROM checked", files=files, graded=graded)
 
 
 def project_totals(spark: SparkSession, files: DataFrame) -> DataFrame:

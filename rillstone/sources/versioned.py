@@ -71,14 +71,15 @@ class VersionedTable:
         parts = (version or self.version()).parts
         if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/{p}" for p in parts])
+        rows = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/parts").parquet(*[f"{self.path}/{p}" for p in parts])
+        return rows.drop("part")
 
     def commit(self, rows: DataFrame, writer: str, batch: int, by: list[str] | None = None) -> bool:
         """Add ``rows`` as batch number ``batch`` of ``writer``; False if that batch is there already."""
         before = self.version()
         if batch <= before.last.get(writer, -1):
             return False
-        part = f"parts/p-{uuid.uuid4().hex}"
+        part = f"parts/part=p{uuid.uuid4().hex}"
         self._write(rows, part, by)
         self._publish(Version(before.n + 1, [*before.parts, part], {**before.last, writer: batch}))
         return True
@@ -91,7 +92,7 @@ class VersionedTable:
         """Replace all parts by one with ``fold`` of their rows; drop what is no longer named."""
         before = self.version()
         if len(before.parts) > 1:
-            part = f"parts/p-{uuid.uuid4().hex}"
+            part = f"parts/part=p{uuid.uuid4().hex}"
             self._write(fold(self.read(before)), part, by)
             self._publish(Version(before.n + 1, [part], before.last))
         self.clean()
