@@ -36,7 +36,8 @@ from . import wordbytes
 from .common import Settled, bloom, bloom_size, give_back, in_bloom
 
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
-BLOCK, KEYS, GROUP = 256 << 10, 2 << 20, 4 << 20  # rows and row groups small enough for a heap of regions
+BLOCK, KEYS, GROUP = 256 << 10, 3 << 20, 4 << 20  # rows and row groups small enough for a heap of regions
+PER_TASK = 8 << 20  # words whose counts a task adds up before it hands them on
 _CODES = np.arange(256)
 CUT = np.isin(_CODES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 WORD = ~(CUT | (_CODES == 32) | (_CODES == 9))
@@ -141,9 +142,9 @@ def _added(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray
     return keys[head], np.minimum(np.add.reduceat(counts, head), least) if len(head) else counts
 
 
-def _frequent(lists: DataFrame, filters: list, k: int, least: int, slices: int) -> np.ndarray:
+def _frequent(lists: DataFrame, filters: list, k: int, least: int, words: int) -> np.ndarray:
     """A Bloom filter that passes every phrase of ``k`` words that occurs ``least`` times."""
-    kind = np.uint8 if least < 128 else np.int64
+    kind, slices = np.uint8 if least < 128 else np.int64, 1 + words // (KEYS // 4)
 
     def counted(batches):
         held, size = [], 0
@@ -200,27 +201,25 @@ def _frequent(lists: DataFrame, filters: list, k: int, least: int, slices: int)
         give_back()
 
     read = lists.select("lang", "words", "lengths", *["steps"] * (k > 1))
-    parts = read.mapInArrow(counted, "part long, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
+    parts = read.coalesce(1 + words // PER_TASK).mapInArrow(counted, "part long, keys binary, counts binary").repartition("part").sortWithinPartitions("part")
     found = Settled(parts.mapInArrow(summed, "key long"))
     made = bloom(found.df, bloom_size(found.df.count()))
     found.free()
     return made
 
 
-def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
+def _counts(lists: DataFrame, filters: list, most: int, words: int) -> DataFrame:
     """``(lang, k, phrase, n)``: lengths of the lists that pass the filters, for each block."""
 
     def run(batches):
-        held, size = [], 0
+        held, fresh = [], 0
 
         def table(lang, k, phrases, n):
             return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "k": np.full(len(phrases), k, np.int32), "phrase": phrases.cast(pa.string()), "n": n.astype(np.int64)})
 
-        def out():
-            if held:
-                sums = pa.TableGroupBy(pa.concat_tables(held), ["lang", "k", "phrase"]).aggregate([("n", "sum")])
-                held.clear()
-                yield from sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"]).to_batches(1 << 16)
+        def add_up():
+            sums = pa.TableGroupBy(pa.concat_tables(held), ["lang", "k", "phrase"]).aggregate([("n", "sum")])
+            held[:] = [sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"])]
 
         for batch in batches:
             for block in _blocks(batch):
@@ -235,25 +234,29 @@ def _counts(lists: DataFrame, filters: list, most: int) -> DataFrame:
                     head = np.flatnonzero(np.r_[True, (said[:, 1:] != said[:, :-1]).any(axis=0)])
                     parts = [words.take(pa.array(said[i, head])) for i in range(k)]
                     held.append(table(block.lang, k, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), np.diff(np.r_[head, said.shape[1]])))
-                size += sum(t.num_rows for t in held[-most:])
-                if size > KEYS // 2:
-                    yield from out()
-                    size = 0
-        yield from out()
+                fresh += block.lengths.size
+                if fresh > KEYS // 8:
+                    add_up()
+                    fresh = 0
+                    if held[0].num_rows > KEYS // 2:
+                        yield from held.pop().to_batches(1 << 16)
+        if held:
+            add_up()
+            yield from held.pop().to_batches(1 << 16)
         give_back()
 
-    return lists.select("lang", "words", "lengths", "steps").mapInArrow(run, "lang string, k int, phrase string, n long")
+    return lists.select("lang", "words", "lengths", "steps").coalesce(1 + words // PER_TASK).mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
 def phrases(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to ``most`` words that occur ``least`` times, ``(lang, k, phrase, a)``, and the words of each language, ``(lang, n)``."""
     lists = Settled(inverted_lists(texts), GROUP)
     spoken = Settled(lists.df.groupBy("lang").agg(F.sum("n").alias("n"))).df
-    slices = 1 + (spoken.agg(F.sum("n")).first()[0] or 0) // (KEYS // 4)
+    words = spoken.agg(F.sum("n")).first()[0] or 0
     filters: list = []
     for k in range(1, most + 1):
-        filters.append(_frequent(lists.df, filters, k, least, slices))
-    counted = _counts(lists.df, filters, most).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        filters.append(_frequent(lists.df, filters, k, least, words))
+    counted = _counts(lists.df, filters, most, words).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     found = Settled(counted).df
     lists.free()
     return found, spoken
