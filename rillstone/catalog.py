@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from .operators import fingerprint, gates, ingest, jobs, lifecycle, messages, registry, retrieval, rules, signal, similarity  # noqa: F401  (they register themselves)
+from .operators import fingerprint, gates, ingest, jobs, lifecycle, messages, registry, retrieval, rules, signal, similarity, topk  # noqa: F401  (they register themselves)
 from .streaming import timers  # noqa: F401
 from .plans.registry import oracle_queries, spark_queries
 
