@@ -37,7 +37,7 @@ from .common import Settled, bloom, bloom_size, give_back, in_bloom
 
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 BLOCK, KEYS, GROUP = 256 << 10, 3 << 20, 4 << 20  # rows and row groups small enough for a heap of regions
-PER_TASK = 8 << 20  # words whose counts a task adds up before it hands them on
+PER_TASK, BUFFER = 8 << 20, 1 << 19  # words whose counts meet in a task; rows that it adds up at a time
 _CODES = np.arange(256)
 CUT = np.isin(_CODES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 WORD = ~(CUT | (_CODES == 32) | (_CODES == 9))
@@ -212,14 +212,15 @@ def _counts(lists: DataFrame, filters: list, most: int, words: int) -> DataFrame
     """``(lang, k, phrase, n)``: lengths of the lists that pass the filters, for each block."""
 
     def run(batches):
-        held, fresh = [], 0
+        held = []
 
         def table(lang, k, phrases, n):
             return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "k": np.full(len(phrases), k, np.int32), "phrase": phrases.cast(pa.string()), "n": n.astype(np.int64)})
 
-        def add_up():
+        def added_up():
             sums = pa.TableGroupBy(pa.concat_tables(held), ["lang", "k", "phrase"]).aggregate([("n", "sum")])
-            held[:] = [sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"])]
+            held.clear()
+            yield from sums.select(["lang", "k", "phrase", "n_sum"]).rename_columns(["lang", "k", "phrase", "n"]).to_batches(1 << 16)
 
         for batch in batches:
             for block in _blocks(batch):
@@ -234,15 +235,10 @@ def _counts(lists: DataFrame, filters: list, most: int, words: int) -> DataFrame
                     head = np.flatnonzero(np.r_[True, (said[:, 1:] != said[:, :-1]).any(axis=0)])
                     parts = [words.take(pa.array(said[i, head])) for i in range(k)]
                     held.append(table(block.lang, k, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), np.diff(np.r_[head, said.shape[1]])))
-                fresh += block.lengths.size
-                if fresh > KEYS // 8:
-                    add_up()
-                    fresh = 0
-                    if held[0].num_rows > KEYS // 2:
-                        yield from held.pop().to_batches(1 << 16)
+                if sum(t.num_rows for t in held) > BUFFER:
+                    yield from added_up()
         if held:
-            add_up()
-            yield from held.pop().to_batches(1 << 16)
+            yield from added_up()
         give_back()
 
     return lists.select("lang", "words", "lengths", "steps").coalesce(1 + words // PER_TASK).mapInArrow(run, "lang string, k int, phrase string, n long")
