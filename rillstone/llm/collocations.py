@@ -142,6 +142,15 @@ def _added(keys: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray
     return keys[head], np.minimum(np.add.reduceat(counts, head), least) if len(head) else counts
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Rising keys as the bytes of their steps, plane by plane: the upper planes are nearly empty."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint8).reshape(8, -1).T.copy().view(np.uint64)[:, 0])
+
+
 def _frequent(lists: DataFrame, filters: list, k: int, least: int, words: int) -> np.ndarray:
     """A Bloom filter that passes every phrase of ``k`` words that occurs ``least`` times."""
     kind, slices = np.uint8 if least < 128 else np.int64, 1 + words // (KEYS // 4)
@@ -154,7 +163,7 @@ def _frequent(lists: DataFrame, filters: list, k: int, least: int, words: int) -
             part = ((keys >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
             edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)] if len(part) else [0]
             for a in range(0, len(edge) - 1, 512):
-                cut = [(int(part[i]), keys[i:j].tobytes(), counts[i:j].astype(kind).tobytes()) for i, j in zip(edge[a : a + 512], edge[a + 1 : a + 513])]
+                cut = [(int(part[i]), _packed(keys[i:j]), counts[i:j].astype(kind).tobytes()) for i, j in zip(edge[a : a + 512], edge[a + 1 : a + 513])]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cut), (pa.int64(), pa.binary(), pa.binary()))], ["part", "keys", "counts"])
 
         for batch in batches:
@@ -186,7 +195,7 @@ def _frequent(lists: DataFrame, filters: list, k: int, least: int, words: int) -
         held, part = [], None
 
         def out():
-            keys, counts = _added(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held]), np.concatenate([np.frombuffer(x, kind) for _, x in held]).astype(np.int64), least)
+            keys, counts = _added(np.concatenate([_unpacked(x) for x, _ in held]), np.concatenate([np.frombuffer(x, kind) for _, x in held]).astype(np.int64), least)
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], ["key"])
 
