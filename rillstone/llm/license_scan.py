@@ -6,13 +6,12 @@ have a character of their own, all others are ``.``), so a phrase is a substring
 a place a word index.
 
 * Base: places where a base phrase's words stand consecutively.
-* Method: document frequencies of the licence words over *all* texts give their IDF;
-  of each text its ``rare`` highest-IDF licence words are looked up in the positional
-  index of the templates; word place minus template place is an alignment, kept when
-  two words vote for it (or the template's mandatory phrase does: a place of the phrase
-  counts as two votes, whatever the text's rarest words are) and verified by the
-  template's mandatory key phrase at its place.  ``score`` is the best alignment's
-  IDF-weighted share of template words found.
+* Method: document frequencies of the licence words over *all* texts give their IDF.  Of each
+  template the text's ``rare`` highest-IDF words are looked up in the positional index; word
+  place minus template place is an alignment, kept where two postings of one template agree
+  on it and verified by the template's mandatory key phrase at its place (a template
+  without all words of its phrase in the text is not looked up).  ``score`` is the best
+  alignment's IDF-weighted share of template words found.
 
 Edge cases: a null or empty text has no words, no labels and score 0; repeated rows
 are kept; null ids are carried; an empty table gives an empty result; other columns
@@ -89,7 +88,7 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     import math
 
     idf = {w: math.log((1 + n) / (1 + found.get(w, 0))) + 0.01 for w in _VOCABULARY}
-    by_rarity = _literals([_CODE[w] for w in sorted(_VOCABULARY, key=lambda w: (-idf[w], w))])
+    by_rarity = [sorted(set(t.split()), key=lambda w: (-idf[w], w)) for t, _, _ in TEMPLATES]
 
     text = F.coalesce("coded", F.lit(""))
     count, first, last, base = F.lit(0).cast("long"), [], [], []
@@ -104,21 +103,23 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         base.append(F.when(at > 0, F.lit(label)))
     read = read.select("row", "id", "n_words", "coded", count.alias("n_base"), F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"), F.array_compact(F.array(*base)).alias("base"))
 
-    # The positional index: a posting for each template word, and one of two votes for
-    # each mandatory phrase, whose places get a mark in place of their first word.
-    marks = {t: chr(0x400 + t) for t in range(len(TEMPLATES))}
-    index = [(_CODE[w], t, i, 1) for t, (text_, _, _) in enumerate(TEMPLATES) for i, w in enumerate(text_.split())]
-    index += [(marks[t], t, _key_at(text_, key), 2) for t, (text_, _, key) in enumerate(TEMPLATES)]
-    postings = spark.createDataFrame(index, "code string, template int, at int, weight int")
-    marked = F.col("coded")
-    for t, (_, _, key) in enumerate(TEMPLATES):  # no phrase overlaps another or itself
-        marked = F.replace(marked, F.lit(_coded(key)), F.lit(marks[t] + _coded(key)[1:]))
+    # The positional index: a posting for each template word.
+    index = [(_CODE[w], t, i) for t, (text_, _, _) in enumerate(TEMPLATES) for i, w in enumerate(text_.split())]
+    postings = spark.createDataFrame(index, "code string, template int, at int")
     files = read.where("coded IS NOT NULL").select("row", "coded")
-    own = F.slice(F.filter(by_rarity, lambda c: F.contains(F.col("coded"), c)), 1, rare)
-    hits = files.withColumn("own", F.concat(own, _literals(marks.values()))).withColumn("marked", marked)
-    hits = hits.select("row", "coded", F.explode(F.filter(F.transform(F.split("marked", ""), lambda c, i: F.when(F.array_contains(F.col("own"), c), F.struct(i.alias("place"), c.alias("code")))), lambda h: h.isNotNull())).alias("h"))
-    votes = (hits.join(F.broadcast(postings), F.col("h.code") == F.col("code")).withColumn("start", F.col("h.place") - F.col("at"))
-             .groupBy("row", "template", "start").agg(F.sum("weight").alias("votes"), F.first("coded").alias("coded")).where("votes > 1"))
+    held = lambda w: F.contains(F.col("coded"), F.lit(_CODE[w]))
+    asked = []
+    for t, (_, _, key) in enumerate(TEMPLATES):
+        whole = F.lit(True)
+        for w in set(key.split()):
+            whole = whole & held(w)
+        own = F.slice(F.array_compact(F.array(*[F.when(held(w), F.lit(_CODE[w])) for w in by_rarity[t]])), 1, rare)
+        asked.append(F.when(whole, F.struct(F.lit(t).alias("template"), own.alias("own"))))
+    hits = files.select("row", "coded", F.inline(F.array_compact(F.array(*asked))))
+    places = F.filter(F.transform(F.split("coded", ""), lambda c, i: F.when(F.array_contains(F.col("own"), c), F.struct(i.alias("place"), c.alias("code")))), lambda h: h.isNotNull())
+    hits = hits.select("row", "coded", "template", F.explode(places).alias("h")).select("row", "coded", "template", "h.place", "h.code")
+    votes = (hits.join(F.broadcast(postings), ["template", "code"]).withColumn("start", F.col("place") - F.col("at"))
+             .groupBy("row", "template", "start").agg(F.count("*").alias("votes"), F.first("coded").alias("coded")).where("votes > 1"))
     score, label, verified = F.lit(0.0), F.lit(None).cast("string"), F.lit(False)
     for t, (text_, name, key) in enumerate(TEMPLATES):
         tokens, here = text_.split(), F.col("template") == t
