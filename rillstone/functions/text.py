@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .vocabulary import EN_SUFFIXES, HTML_BREAK, HTML_DROPPED, HTML_TAG, LINE_END, RU_SUFFIXES, SPACE, STOP
+from .vocabulary import EN_SUFFIXES, HTML_BREAK, HTML_DROPPED, HTML_TAG, LINE_END, RARE_LINE_END, RU_SUFFIXES, SPACES, STOP
 
 WORD = "[A-Za-zА-Яа-яЁё0-9]+"
 
@@ -41,12 +41,14 @@ def term_counts(d, table: str, key: str, text: str = "text") -> str:
 
 def strip(d, c: str) -> str:
     """Without white space (of Unicode) at both ends."""
-    return d.rx_sub(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return d.trimmed(c, SPACES)
 
 
 def lines(d, c: str) -> str:
-    """Lines of a text, without an empty one after the last line end; an empty text has none."""
-    return f"CASE WHEN coalesce({c}, '') = '' THEN {d.none()} ELSE {d.rx_split(d.rx_sub(c, f'(?:{LINE_END})' + chr(92) + 'z', ''), LINE_END)} END"
+    """Lines of a text, without an empty one after the last line end; an empty text has none.
+    Texts with line feeds alone, which is most of them, are split at that character."""
+    split = f"CASE WHEN {d.rx(c, RARE_LINE_END)} THEN {d.rx_split(c, LINE_END)} ELSE {d.split(c, 'chr(10)')} END"
+    return f"CASE WHEN coalesce({c}, '') = '' THEN {d.none()} ELSE {d.without_last_empty(split)} END"
 
 
 def spaced_words(d, c: str) -> str:

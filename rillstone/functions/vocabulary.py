@@ -28,8 +28,9 @@ JUNK_PARTS = ("Accept all", "More options", "cookie", "Cookie", "Unable to run i
 HTML_DROPPED, HTML_BREAK, HTML_TAG = "(?s)<script.*?</script>|<style.*?</style>", "<(br|/p|/div|/h[1-6]|/li)[^>]*>", "<[^>]+>"
 
 # White space and line ends as text libraries see them.
-SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+RARE_LINE_END = r"[\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"  # all but the line feed
 
 # Type names that mark a copied project, names that say nothing, file names that must be equal.
 BLACKLIST = """

@@ -115,22 +115,36 @@ class Evaluation:
 def contained(items: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
     """The ids of ``items(query_id, q)`` whose text stands in one of ``texts(id, text)``.
 
-    Inner words of an item stand whole in any text that holds it, so a hash of the second to
-    fifth is an equi-join's key, and ``contains`` decides; items of fewer words are compared
-    with every text (their number is counted first; beyond ``FEW`` this raises)."""
+    Inner words of an item stand whole in any text that holds it, so a hash of up to ``words`` of
+    them, from the second on, is an equi-join's key; an item of two words or fewer is found by its
+    first three characters.  Only ids travel to that join; the texts that are met are fetched
+    after it, and ``contains`` decides.  Items of one or two characters in all are few, however
+    many rows they have: each is one of a written list of distinct ones."""
     cut = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    gram = lambda arr, at: F.xxhash64(F.array_join(F.slice(arr, at, words), " "))
-    items = written(items.select("query_id", "q").withColumn("w", cut(F.col("q"))).withColumn("key", F.when(F.size("w") >= words + 2, gram(F.col("w"), F.lit(2)))).drop("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - words + 1)), lambda i: gram(F.col("w"), i))
-    keyed = texts.select("text").withColumn("w", cut(F.col("text"))).where(F.size("w") >= words).select("text", F.explode(F.array_distinct(grams)).alias("key"))
-    wanted = items.where("key IS NOT NULL")
-    long = keyed.join(_few(wanted), "key").where(F.contains("text", "q")).select("query_id").distinct()
-    brief = items.where("key IS NULL AND q <> ''").select("query_id", "q")
-    if n := brief.count():
-        if n > FEW:
-            raise ValueError(f"{n} items of fewer than {words + 2} words")
-        long = long.unionByName(texts.select("text").join(F.broadcast(brief), F.contains("text", "q")).select("query_id")).distinct()
-    return long
+    gram = lambda arr, at, n: F.xxhash64(F.array_join(F.slice(arr, at, n), " "))
+    inner = F.least(F.lit(words), F.size("w") - 2)
+    key = F.when(F.size("w") > 2, gram(F.col("w"), F.lit(2), inner)).when(F.length("q") >= 3, F.xxhash64(F.substr("q", F.lit(1), F.lit(3))))
+    items = written(items.where("q IS NOT NULL").select("query_id", "q").withColumn("w", cut(F.col("q"))).withColumn("kind", F.when(F.size("w") > 2, inner).when(F.length("q") >= 3, 0)).withColumn("key", key).drop("w"))
+    kinds = [r["kind"] for r in items.where("kind IS NOT NULL").select("kind").distinct().collect()]  # at most words + 1
+
+    def held(n: int):
+        """All keys of one kind that a text holds."""
+        whole = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: gram(F.col("w"), i, F.lit(n)))
+        if not n:
+            whole = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 2)), lambda i: F.xxhash64(F.substr("text", i, F.lit(3))))
+        return F.transform(F.array_distinct(whole), lambda k: F.struct(F.lit(n).alias("kind"), k.alias("key")))
+
+    keys = [F.array().cast("array<struct<kind:int,key:bigint>>"), *map(held, kinds)]
+    found = texts.where("text IS NOT NULL").withColumn("w", cut(F.col("text"))).select("id", F.inline(F.concat(*keys)))
+    wanted = _few(items.where("kind IS NOT NULL").select("kind", "key", "query_id"))
+    met = found.join(wanted, ["kind", "key"]).select("id", "query_id").distinct()
+    long = met.join(items.select("query_id", "q"), "query_id").join(texts.select("id", "text"), "id").where(F.contains("text", "q")).select("query_id").distinct()
+    tiny = items.where("kind IS NULL AND q <> ''")
+    said = written(tiny.select("q").distinct())
+    if not said.take(1):
+        return long
+    seen = texts.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text"))), lambda i: F.array(F.substr("text", i, F.lit(1)), F.substr("text", i, F.lit(2))))))).alias("q"))
+    return long.unionByName(tiny.join(seen.join(said, "q", "left_semi").distinct(), "q").select("query_id")).distinct()
 
 
 def corpus(d, table="documents", key="doc_id") -> str:

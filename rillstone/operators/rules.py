@@ -7,16 +7,17 @@ from ..functions import vocabulary as v
 from ..plans.registry import query
 from .gates import bundle_grammar
 
-#: name, pattern (of a line), severity, least number of lines that make a finding.
+#: name, pattern (of a line), what a matching line must hold (any of them; in lower case), severity,
+#: least number of lines that make a finding.
 RULES = [
-    ("stub text", v.STUBS, "FAIL", 1),
-    ("force unwrap", v.FORCED, "warn", 1),
-    ("version literal", "[0-9]+[.][0-9]+[.][0-9]+", "warn", 1),
-    ("network address", "(?i)https?://|www[.]", "FAIL", 1),
-    ("mail address", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "FAIL", 1),
-    ("license line", "(?i)licen[sc]e", "ok", 1),
-    ("markup", "[|]", "warn", 3),
-    ("repeated marks", "[*#%&$]{3}", "warn", 2),
+    ("stub text", v.STUBS, ("lorem ipsum", "placeholder text", "coming soon", "not implemented", "todo:", "fixme"), "FAIL", 1),
+    ("force unwrap", v.FORCED, ("!",), "warn", 1),
+    ("version literal", "[0-9]+[.][0-9]+[.][0-9]+", (".",), "warn", 1),
+    ("network address", "(?i)https?://|www[.]", ("://", "www."), "FAIL", 1),
+    ("mail address", "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", ("@",), "FAIL", 1),
+    ("license line", "(?i)licen[sc]e", ("licen",), "ok", 1),
+    ("markup", "[|]", ("|",), "warn", 3),
+    ("repeated marks", "[*#%&$]{3}", ("*", "#", "%", "&", "$"), "warn", 2),
 ]
 
 
@@ -24,11 +25,21 @@ def lines(d) -> str:
     return f"lines AS (SELECT doc_id, {d.numbered('ls', 'line')} FROM (SELECT doc_id, {t.lines(d, 'text')} AS ls FROM documents) x)"
 
 
+def matches(d, pattern: str, needs: tuple, line: str = "line", low: str = "low") -> str:
+    """Whether a line fits; lines without one of the literals are told by those alone."""
+    held = " OR ".join(f"contains({line if n == n.upper() else low}, '{n}')" for n in needs)
+    return f"(({held}) AND {d.rx(line, pattern)})"
+
+
 def findings(d) -> str:
     """CTEs up to ``found(doc_id, rule, severity, n_hits, first_line)``: matching lines, not
-    occurrences.  A line is read once and tested by all rules."""
-    rows = [(f"'{n}'", f"CASE WHEN {d.rx('line', p)} THEN '{s}' END", str(k)) for n, p, s, k in RULES]
-    return f"{lines(d)}, hits AS ({d.findings(rows, 'lines', 'doc_id, pos')}), found AS (SELECT doc_id, rule, severity, count(*) AS n_hits, min(pos) AS first_line FROM hits GROUP BY doc_id, rule, severity, detail HAVING count(*) >= detail)"
+    occurrences.  A text that lacks all literals of a rule is never tested by it, line by line."""
+    held = ", ".join(f"({' OR '.join(f'contains(low_, {chr(39)}{x}{chr(39)})' for x in needs)}) AS has_{i}" for i, (_, _, needs, _, _) in enumerate(RULES))
+    has = ", ".join(f"has_{i}" for i in range(len(RULES)))
+    rows = [(f"'{n}'", f"CASE WHEN has_{i} AND {matches(d, p, needs)} THEN '{s}' END", str(k)) for i, (n, p, needs, s, k) in enumerate(RULES)]
+    some = " OR ".join(f"has_{i}" for i in range(len(RULES)))
+    return f"""asked AS (SELECT doc_id, text, {held} FROM (SELECT doc_id, text, lower(text) AS low_ FROM documents) x), lines AS (SELECT doc_id, {has}, {d.numbered('ls', 'line')} FROM (SELECT doc_id, {has}, {t.lines(d, 'text')} AS ls FROM asked WHERE {some}) x),
+lowered AS (SELECT doc_id, {has}, pos, line, lower(line) AS low FROM lines), hits AS ({d.findings(rows, 'lowered', 'doc_id, pos')}), found AS (SELECT doc_id, rule, severity, count(*) AS n_hits, min(pos) AS first_line FROM hits GROUP BY doc_id, rule, severity, detail HAVING count(*) >= detail)"""
 
 
 @query

@@ -71,6 +71,14 @@ class Spark:
     def text(self, arr, sep):
         return f"array_join({arr}, {sep})"
 
+    def trimmed(self, c, chars):
+        """Without any of ``chars`` at both ends."""
+        return f"btrim({c}, '{chars}')"
+
+    def without_last_empty(self, arr):
+        """An array of strings without its last one if that is empty."""
+        return f"transform(array({arr}), a_ -> CASE WHEN element_at(a_, -1) = '' THEN slice(a_, 1, size(a_) - 1) ELSE a_ END)[0]"
+
     def seconds(self, c):
         return f"unix_timestamp(CAST({c} AS TIMESTAMP))"
 
@@ -143,6 +151,12 @@ class Duck(Spark):
     def text(self, arr, sep):
         return f"array_to_string({arr}, {sep})"
 
+    def trimmed(self, c, chars):
+        return f"trim({c}, '{chars}')"
+
+    def without_last_empty(self, arr):
+        return f"list_transform([{arr}], lambda a_: CASE WHEN a_[-1] = '' THEN a_[1:len(a_) - 1] ELSE a_ END)[1]"
+
     def seconds(self, c):
         return f"CAST(floor(epoch({c})) AS BIGINT)"
 

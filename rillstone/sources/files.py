@@ -80,7 +80,7 @@ def project_root(files: DataFrame, starts: DataFrame) -> DataFrame:
 def settings(spark: SparkSession, path: str, defaults: dict[str, str] | None = None) -> dict[str, str]:
     """KEY=value lines (the first of a key wins) over the defaults; a handful of rows."""
     pair = spark.read.text(path).select(F.regexp_extract("value", "^([^=#]+)=(.*)$", 1).alias("k"), F.regexp_extract("value", "^([^=#]+)=(.*)$", 2).alias("v"), F.monotonically_increasing_id().alias("n")).where("k <> ''")
-    rows = pair.groupBy("k").agg(F.min_by("v", "n").alias("v")).limit(10_000).collect()
+    rows = pair.groupBy("k").agg(F.min_by("v", "n").alias("v")).collect()
     return {**(defaults or {}), **{r["k"]: r["v"] for r in rows if r["v"]}}
 
 
