@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbytes
-from .common import Settled, bloom, bloom_size, give_back, in_bloom
+from .common import Settled, bloom, bloom_size, give_back, in_bloom, let_go
 
 LEAST, WORDS, TOP, INSIDE = 10, 3, 2000, 50
 BLOCK, KEYS, GROUP = 256 << 10, 3 << 20, 4 << 20  # rows and row groups small enough for a heap of regions
@@ -261,6 +261,7 @@ def phrases(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[Da
     filters: list = []
     for k in range(1, most + 1):
         filters.append(_frequent(lists.df, filters, k, least, words))
+        let_go(texts.sparkSession)
     counted = _counts(lists.df, filters, most, words).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     found = Settled(counted).df
     lists.free()

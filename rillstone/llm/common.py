@@ -62,6 +62,15 @@ def give_back() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver notice which shuffles nothing refers to any more, so that their files go
+    before the next step writes its own."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over single batches; ``step`` yields any number of batches."""
 
