@@ -45,8 +45,19 @@ _LISTS = "lang string, n long, words binary, lengths binary, steps binary"
 _FACTOR = np.uint64(0x9FB21C651E98DF25)
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers in two or four bytes each, plane by plane."""
+    kind = np.uint16 if numbers.max() < 1 << 16 else np.int32
+    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _wide(small, n: int) -> np.ndarray:
+    planes = np.frombuffer(small, np.uint8).reshape(-1, n).T.copy()
+    return planes.view(np.uint16 if planes.shape[1] == 2 else np.int32)[:, 0].astype(np.int64)
+
+
 def _lists_of(data, offsets, langs):
-    """``(lang code, words, lengths, steps)`` of one run of texts, for each language in it."""
+    """``(lang code, number of words, words, lengths, steps)`` of one run of texts, for each language in it."""
     hashes, starts, ends, first = wordbytes.words(data, offsets, WORD)
     if not len(hashes):
         return
@@ -68,7 +79,7 @@ def _lists_of(data, offsets, langs):
         source = np.arange(stop[-1]) + np.repeat(starts[own[head]] - (stop - size), size)
         words = wordbytes.LOWER[data[np.minimum(source, len(data) - 1)]]
         words[stop - 1] = 32
-        yield code, words.tobytes(), lengths.astype(np.int32).tobytes(), step.astype(np.int32).tobytes()
+        yield code, len(own), words.tobytes(), _small(lengths), _small(step)
 
 
 def inverted_lists(texts: DataFrame) -> DataFrame:
@@ -79,7 +90,7 @@ def inverted_lists(texts: DataFrame) -> DataFrame:
             named = batch.column(0).fill_null("und").dictionary_encode()
             langs, names = named.indices.to_numpy(zero_copy_only=False), named.dictionary.to_pylist()
             for first, offsets, data in wordbytes.runs(batch.column(1), BLOCK):
-                made = [(names[c], sum(np.frombuffer(n, np.int32).tolist()), w, n, s) for c, w, n, s in _lists_of(data, offsets, langs[first : first + len(offsets) - 1])]
+                made = [(names[c], *x) for c, *x in _lists_of(data, offsets, langs[first : first + len(offsets) - 1])]
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["lang", "n", "words", "lengths", "steps"])
         give_back()
@@ -91,7 +102,8 @@ class _Block:
     """One row of the inverted lists: words, their hashes, and which word stands at each position."""
 
     def __init__(self, lang: str, words, lengths, steps=None):
-        self.lang, self.bytes, self.lengths = lang, np.frombuffer(words, np.uint8), np.frombuffer(lengths, np.int32).astype(np.int64)
+        self.lang, self.bytes = lang, np.frombuffer(words, np.uint8)
+        self.lengths = _wide(lengths, int((self.bytes == 32).sum()))
         seed = np.uint64(zlib.crc32(lang.encode()) * 0x9E3779B97F4A7C15 % (1 << 64))
         self.hashes = wordbytes.mix(wordbytes.words(self.bytes, np.array([0, len(self.bytes)]), WORD)[0] ^ seed)
         self.steps = steps
@@ -104,7 +116,7 @@ class _Block:
 
     def places(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the lists in ``live``, merged in order, and each one's list."""
-        step = np.frombuffer(self.steps, np.int32).astype(np.int64)
+        step = _wide(self.steps, int(self.lengths.sum()))
         total, head = np.cumsum(step), np.cumsum(self.lengths) - self.lengths
         at = total - np.repeat(total[head] - step[head], self.lengths)
         owner = np.full(int(at.max()) + 1, -1, np.int32)
@@ -255,7 +267,7 @@ def _counts(lists: DataFrame, filters: list, most: int, words: int) -> DataFrame
 
 def phrases(texts: DataFrame, least: int = LEAST, most: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to ``most`` words that occur ``least`` times, ``(lang, k, phrase, a)``, and the words of each language, ``(lang, n)``."""
-    lists = Settled(inverted_lists(texts), GROUP)
+    lists = Settled(inverted_lists(texts), GROUP, "zstd")
     spoken = Settled(lists.df.groupBy("lang").agg(F.sum("n").alias("n"))).df
     words = spoken.agg(F.sum("n")).first()[0] or 0
     filters: list = []

@@ -36,10 +36,10 @@ class Settled:
     ``group_bytes`` bounds a row group, and with it what a task buffers.
     """
 
-    def __init__(self, df: DataFrame, group_bytes: int = 128 << 20):
+    def __init__(self, df: DataFrame, group_bytes: int = 128 << 20, codec: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark).rstrip('/')}/t-{uuid.uuid4().hex}"
-        df.write.option("parquet.block.size", group_bytes).parquet(self.path)
+        df.write.option("parquet.block.size", group_bytes).option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def free(self) -> None:
