@@ -6,10 +6,10 @@ from ..plans import fixtures as f
 from ..plans.registry import query
 
 INLINE, SLICE = 300, 3900
-LEAD, TAIL, EMPTY = "[TG msg_id=", " <- answer ONLY via tg-reply, text typed into the session is invisible to the operator", "message without text (sticker/voice?) - tell the operator it is not supported yet"
+LEAD, TAIL, EMPTY = "[message ", "", "nothing to read in this message"  # before the number, after the line, in place of a missing text
 
 
-def rendered(d, chat: int = 5, inbox: str = "inbox") -> str:
+def rendered(d, chat: int = 5, inbox: str = "inbox", lead: str = LEAD, tail: str = TAIL, empty: str = EMPTY) -> str:
     """CTEs ``rendered(update_id, message_id, line)`` and ``spilled(path, text)`` of
     ``updates`` and ``photos``: messages of one chat as the line its reader gets.  The largest
     photo counts (no size is 0, the first of equals); long or several-lined texts go to a file
@@ -23,7 +23,7 @@ def rendered(d, chat: int = 5, inbox: str = "inbox") -> str:
 biggest AS (SELECT message_id, file_id FROM (SELECT message_id, file_id, row_number() OVER (PARTITION BY message_id ORDER BY coalesce(file_size, 0) DESC, pos) AS place FROM photos) x WHERE place = 1),
 parts AS (SELECT o.update_id, o.message_id, o.text, CASE WHEN b.file_id IS NOT NULL THEN 'photo: ' || {path(f"CAST(o.message_id AS {d.text_type()}) || '_photo'")} END AS photo, CASE WHEN o.file_id IS NOT NULL THEN 'file: ' || {path(f"CAST(o.message_id AS {d.text_type()}) || '_' || coalesce(o.file_name, CAST(o.message_id AS {d.text_type()}) || '_file')")} END AS file FROM own o LEFT JOIN biggest b ON b.message_id = o.message_id),
 said AS (SELECT update_id, message_id, text, photo, file, CASE WHEN text = '' THEN NULL WHEN {inline} THEN text ELSE 'long message starting «' || {first} || '», full text: ' || {path(number + " || '.txt'")} END AS words FROM parts),
-rendered AS (SELECT update_id, message_id, '{LEAD}' || {number} || '] ' || CASE WHEN coalesce(photo, file, words) IS NULL THEN '{EMPTY}' ELSE concat_ws(' · ', photo, file, words) END || '{TAIL}' AS line FROM said),
+rendered AS (SELECT update_id, message_id, '{lead}' || {number} || '] ' || CASE WHEN coalesce(photo, file, words) IS NULL THEN '{empty}' ELSE concat_ws(' · ', photo, file, words) END || '{tail}' AS line FROM said),
 spilled AS (SELECT {path(number + " || '.txt'")} AS path, text FROM parts WHERE text <> '' AND NOT ({inline}))"""
 
 

@@ -100,10 +100,10 @@ def test_messages(spark):
     from rillstone.operators.messages import EMPTY, TAIL
 
     line = {r["message_id"]: r["line"].removesuffix(TAIL) for r in rows(spark, "rendered_messages")}
-    assert line[7] == "[TG msg_id=7] status?" and line[8] == "[TG msg_id=8] long message starting «# App», full text: inbox/8.txt"
-    assert line[9] == f"[TG msg_id=9] long message starting «{'x' * 80}», full text: inbox/9.txt" and line[10] == "[TG msg_id=10] file: inbox/10_plan.pdf · spec attached"
-    assert line[11] == "[TG msg_id=11] photo: inbox/11_photo" and line[12] == f"[TG msg_id=12] {EMPTY}" and 13 not in line
-    assert line[14] == "[TG msg_id=14] photo: inbox/14_photo · file: inbox/14_14_file" and line[15] == f"[TG msg_id=15] {'y' * 300}"
+    assert line[7] == "[message 7] status?" and line[8] == "[message 8] long message starting «# App», full text: inbox/8.txt"
+    assert line[9] == f"[message 9] long message starting «{'x' * 80}», full text: inbox/9.txt" and line[10] == "[message 10] file: inbox/10_plan.pdf · spec attached"
+    assert line[11] == "[message 11] photo: inbox/11_photo" and line[12] == f"[message 12] {EMPTY}" and 13 not in line
+    assert line[14] == "[message 14] photo: inbox/14_photo · file: inbox/14_14_file" and line[15] == f"[message 15] {'y' * 300}"
     assert {(r["path"], r["text"]) for r in rows(spark, "spilled_messages")} == {("inbox/8.txt", "# App\nscreen one\n\nscreen two"), ("inbox/9.txt", "x" * 400)}
     assert {(r["reason"], r["n"]) for r in rows(spark, "dropped_updates")} == {("no message", 1), ("foreign chat", 1)}
 
