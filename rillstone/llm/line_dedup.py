@@ -1,8 +1,8 @@
-"""Line dedup by a rolling hash over lines, in DataFrame functions only.
+"""Line dedup over windows of two neighbouring lines, in DataFrame functions only.
 
-The hash rolls over ``2`` neighbouring lines and every place of it is a cut: each pair
-of neighbouring lines is a window, whatever stands around it, so a repeated passage of
-two lines or more consists of windows that repeat.  A line of ``PASSAGE`` words or
+Boundaries that a rolling hash chooses miss most short repeats (README, with figures), so
+none are chosen: each pair of neighbouring lines is a window, whatever stands around it, and a
+repeated passage of two lines or more consists of windows that repeat.  A line of ``PASSAGE`` words or
 more is a whole paragraph written without breaks and a window of its own, too.
 Windows that occur more than once anywhere are told apart by the SHA-256 of their
 bytes; the lines of every occurrence but the first (smallest id, then place) are
