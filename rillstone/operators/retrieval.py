@@ -235,6 +235,22 @@ def bm25_top5(spark, sf_dir):
     return _documents(spark, sf_dir).search(_queries(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def printed(hits: DataFrame, texts: DataFrame, width: int = 110) -> DataFrame:
+    """``(query_id, rank, line)``: hits as lines to print, with the score to two places, the id, the
+    heading (where ``texts`` has one) and below them the beginning of the text's first line."""
+    first = F.substr(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0], F.lit(1), F.lit(width))
+    heading = F.coalesce("heading", F.lit("")) if "heading" in texts.columns else F.lit("")
+    own = texts.select("id", heading.alias("heading"), first.alias("first"))
+    return hits.join(own, "id").select("query_id", "rank", F.format_string("%6.2f  [%s]  %s\n        %s", "score", F.col("id").cast("string"), "heading", "first").alias("line"))
+
+
+@plan(f"{bm25(DUCK)} SELECT h.query_id, h.rank, printf('%6.2f', h.score) || '  [' || h.doc_id || ']  ' || chr(10) || '        ' || substr(string_split(coalesce(c.text, ''), chr(10))[1], 1, 110) AS line FROM hits h JOIN documents c ON c.doc_id = h.doc_id")
+def printed_hits(spark, sf_dir):
+    """The rows of ``bm25_top5`` as lines to print."""
+    index = _documents(spark, sf_dir)
+    return printed(index.search(_queries(spark, sf_dir)), index.texts)
+
+
 @plan(f"{bm25(DUCK, 1)} SELECT b.item_id AS query_id, h.doc_id, coalesce(h.score, 0e0) AS score, coalesce(h.score, 0e0) < 40e0 AS abstain FROM benchmark b LEFT JOIN hits h ON b.item_id = h.query_id")
 def bm25_abstain(spark, sf_dir):
     return _documents(spark, sf_dir).answer(_queries(spark, sf_dir), threshold=40.0).withColumnRenamed("id", "doc_id")
