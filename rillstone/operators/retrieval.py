@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.spans import row_counts
 from ..plans.dialect import DUCK
 from ..plans.registry import ask, plan, query, table
 from ..plans.tables import written
@@ -27,6 +28,20 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def term_counts(texts: DataFrame) -> DataFrame:
+    """``(id, term, f, dl)`` of ``texts(id, text)``, written.  Words are counted within their row;
+    only rows whose id occurs again are brought together."""
+    rows = written(row_counts(texts))
+    again = written(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not again.take(1):
+        return rows
+    same = F.col("id").eqNullSafe(F.col("again"))
+    again = again.withColumnRenamed("id", "again")
+    many = rows.join(again, same, "left_semi").groupBy("id", "term").agg(F.sum("f").alias("f"))
+    lengths = many.groupBy(F.col("id").alias("again")).agg(F.sum("f").alias("dl"))
+    return written(rows.join(again, same, "left_anti").unionByName(many.join(lengths, same).select("id", "term", "f", "dl")))
+
+
 @dataclass
 class Index:
     """``texts(id, text)`` and ``postings(term, id, f, dl)``, the number of texts and their mean length."""
@@ -39,12 +54,10 @@ class Index:
     @classmethod
     def build(cls, texts: DataFrame) -> Index:
         """Of ``texts(id, text)``; texts without a token count for the mean length."""
-        spark = texts.sparkSession
-        counts = written(ask(spark, lambda d: t.term_counts(d, "texts", "id"), texts=texts.select("id", "text")))
-        lengths = counts.groupBy("id").agg(F.sum("f").alias("dl"))
+        counts = term_counts(texts)
         tokens = counts.agg(F.sum("f")).first()[0] or 0
         n = texts.count()
-        return cls(texts, counts.join(lengths, "id").select("term", "id", "f", "dl"), n, tokens / n if n else 0.0)
+        return cls(texts, counts.where("id IS NOT NULL").select("term", "id", "f", "dl"), n, tokens / n if n else 0.0)
 
     def save(self, path: str) -> None:
         """Postings by term, so that a search reads the row groups of its terms."""
@@ -174,11 +187,16 @@ ranks AS (SELECT t.item_id AS query_id, min(CASE WHEN contains(c.text, b.text) T
   FROM truth t JOIN benchmark b ON t.item_id = b.item_id LEFT JOIN hits h ON h.query_id = t.item_id LEFT JOIN documents c ON c.doc_id = h.doc_id WHERE t.inside = 1 GROUP BY t.item_id)"""
 
 
-@query
-def tokenize_stats(d):
+def _token_stats(d):
     return f"WITH tokens AS ({t.tokens(d, 'documents', 'doc_id')}) SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms, CAST(sum(length(term)) AS BIGINT) AS n_letters FROM tokens GROUP BY doc_id"
 
 
+@plan(_token_stats)
+def tokenize_stats(spark, sf_dir):
+    counts = term_counts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return counts.groupBy(F.col("id").alias("doc_id")).agg(F.sum("f").alias("n_tokens"), F.count("*").alias("n_terms"), F.sum(F.col("f") * F.length("term")).alias("n_letters"))
+
+
 @query
 def camel_split_tokens(d):
     name = "replace(initcap(p_name), ' ', '')" if d.name == "spark" else "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '')"
@@ -190,11 +208,18 @@ def suffix_fold_vocab(d):
     return f"SELECT w AS word, {t.fold(d, 'w')} AS folded, n FROM (SELECT lower(r) AS w, count(*) AS n FROM (SELECT {d.each(t.raw_words(d, 'text'))} AS r FROM benchmark) x GROUP BY lower(r)) y"
 
 
-@query
-def term_frequency_top(d):
+def _most_frequent(d):
     return f"WITH tokens AS ({t.tokens(d, 'documents', 'doc_id')}) SELECT doc_id, term, f, place FROM (SELECT doc_id, term, f, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, term) AS INT) AS place FROM (SELECT doc_id, term, count(*) AS f FROM tokens GROUP BY doc_id, term) x) y WHERE place <= 3"
 
 
+@plan(_most_frequent)
+def term_frequency_top(spark, sf_dir):
+    """The three most frequent terms of each text."""
+    counts = term_counts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("f"), "term"))
+    return counts.withColumn("place", place).where("place <= 3").select(F.col("id").alias("doc_id"), "term", "f", "place")
+
+
 def _documents(spark, sf_dir) -> Index:
     return Index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
