@@ -31,3 +31,25 @@ def test_texts_are_cut_without_a_shuffle(spark):
     frame = _frame(spark).where("id > 1")
     for df in (spans.row_counts(frame), Index.build(frame).postings):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sentences_are_those_of_the_sql(spark):
+    rows = [(1, "One two three four five six seven eight. Short one! Don't you ever say 'that' again to me, sir?\nA a a a a a a a"), (2, None), (3, ""), (4, "x. " * 9),
+            (5, "ОДИН one two three four five six seven-eight nine! ONE TWO three four five six seven eight nine. one two three four five six seven eight nine"),
+            (6, "ends here one two three four five six"), (7, "a b c d e f g h"), (8, "?? . ! a b c d e f g h.i j k l m n o p...  a b c d e f g h i.")]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    plain = ask(spark, lambda d: f"SELECT DISTINCT id, {d.each(t.sentences(d, 'text'))} AS s FROM texts", texts=frame).collect()
+    made = spans.row_sentences(frame)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, plain)) and len(plain) > 6
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()  # repeats were found by a shuffle of whole sentences
+
+
+def test_shingle_sets(spark):
+    import pyarrow as pa
+
+    texts = ["a b c d e f a b c d e f", None, "a b c d", "x b c d e f", "it's 5 o'clock now, yes"]
+    out = {}
+    for at, grams, begin in spans.shingle_sets(pa.array(texts)):
+        out |= {at + i: grams[x:y] for i, (x, y) in enumerate(zip(begin[:-1], begin[1:]))}
+    assert [len(out[i]) for i in range(5)] == [6, 0, 0, 2, 1]
+    assert len(set(out[0]) & set(out[3])) == 1
