@@ -16,15 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
-from ..plans.dialect import SPARK
+from ..functions.spans import row_sentences, row_shingles
 from ..plans.registry import ask, plan, table
 from ..plans.tables import shared_dir, written
 from ..sources.versioned import VersionedTable
 from .fingerprint import THEIRS, compared, prints, said
 from .similarity import first_sentence
 
-BUCKETS, LIKE = 64, 0.4
+BUCKETS, LIKE, SLICES = 64, 0.4, 8
+FEW = 400_000  # given elements that are broadcast at once
 _ELEMENTS = "element string, owner string, size long, batch long, kind string, bucket int"
 
 
@@ -45,9 +45,10 @@ class Registry:
         Elements come first: until the owners' version is there, they belong to no one, and a
         batch that is handed in again after a crash between the two changes nothing."""
         sizes = Window.partitionBy("kind", "owner")
-        own = elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes)).withColumn("batch", F.lit(batch).cast("long"))
-        rows = self._dealt(own).select("element", "owner", "size", "batch", "kind", "bucket")
-        self.elements.commit(rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "element"), "registry", batch, by=["kind", "bucket"])
+        own = elements if "size" in elements.columns else elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes))
+        rows = self._dealt(own.withColumn("batch", F.lit(batch).cast("long"))).select("element", "owner", "size", "batch", "kind", "bucket")
+        slices = [rows.where(F.col("bucket") % SLICES == i).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "element") for i in range(SLICES)]
+        self.elements.commit(slices, "registry", batch, by=["kind", "bucket"])
         return self.owners.commit(owners.select("owner").distinct().withColumn("batch", F.lit(batch).cast("long")), "registry", batch)
 
     def current(self) -> DataFrame:
@@ -57,11 +58,26 @@ class Registry:
     def matching(self, elements: DataFrame) -> DataFrame:
         """``(kind, element, owner, size, other, other_size)``: registered elements equal to the given
         ones.  Only folders of ``(kind, bucket)`` that the given elements fall into are read."""
+        return self.met(self.sized(elements))
+
+    def sized(self, elements: DataFrame) -> DataFrame:
+        """``elements`` with the size of each kind of an owner, and their buckets, written."""
         sizes = Window.partitionBy("kind", "owner")
-        mine = written(self._dealt(elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes))))
-        stored = self.reading(mine)
-        met = mine.join(stored.select("kind", "element", F.col("owner").alias("other"), F.col("size").alias("other_size"), "batch"), ["kind", "element"])
-        current = self.current().withColumnRenamed("owner", "other")
+        return written(self._dealt(elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes))))
+
+    def met(self, mine: DataFrame) -> DataFrame:
+        """``matching`` of sized elements.  The stored ones stay where they are: those of some folders
+        meet a broadcast of the given ones that fall into them."""
+        slices = min(self.buckets, -(-mine.count() // FEW))
+        current = written(self.current().withColumnRenamed("owner", "other"))
+        out = []
+        for i in range(max(1, slices)):
+            own = mine.where(F.col("bucket") % max(1, slices) == i)
+            stored = self.reading(own).select("kind", "element", F.col("owner").alias("other"), F.col("size").alias("other_size"), "batch")
+            out.append(stored.join(F.broadcast(own) if mine.count() <= FEW * self.buckets else own, ["kind", "element"]))
+        met = out[0]
+        for part in out[1:]:
+            met = met.unionByName(part)
         return met.join(current, ["other", "batch"]).select("kind", "element", "owner", "size", "other", "other_size")
 
     def reading(self, mine: DataFrame) -> DataFrame:
@@ -89,11 +105,15 @@ class Registry:
 def text_elements(texts: DataFrame) -> DataFrame:
     """``(kind, element, owner)`` of ``texts(owner, text)``: sentences of eight words, five-word
     shingles (as 64-bit hashes) and the opening."""
-    owner = "CAST(owner AS STRING) AS owner"
-    d = SPARK
-    sentences = ask(texts.sparkSession, lambda _: f"SELECT 'sentence' AS kind, element, owner FROM (SELECT {owner}, explode({t.sentences(d, 'text')}) AS element FROM texts) x", texts=texts)
-    shingles = ask(texts.sparkSession, lambda _: f"SELECT 'shingle' AS kind, CAST(xxhash64(s) AS STRING) AS element, owner FROM (SELECT owner, explode({t.shingles(d, 'w', 5)}) AS s FROM (SELECT {owner}, {t.spaced_words(d, 'text')} AS w FROM texts) x) y", texts=texts)
-    opening = ask(texts.sparkSession, lambda _: f"SELECT 'opening' AS kind, element, owner FROM (SELECT {owner}, {first_sentence(d, 'text')} AS element FROM texts) x WHERE element <> ''", texts=texts)
+    texts = texts.select(F.col("owner").cast("string").alias("id"), "text")
+    sentences = row_sentences(texts).select(F.lit("sentence").alias("kind"), F.col("s").alias("element"), F.col("id").alias("owner"))
+    sets = row_shingles(texts).select("id", "n", F.explode("set").alias("h"))
+    shingles = sets.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"))
+    opening = ask(texts.sparkSession, lambda d: f"SELECT 'opening' AS kind, element, owner FROM (SELECT id AS owner, {first_sentence(d, 'text')} AS element FROM texts) x WHERE element <> ''", texts=texts)
+    if not texts.groupBy("id").count().where("count > 1").take(1):  # sizes are those of single rows
+        sentences = sentences.withColumn("size", F.count("*").over(Window.partitionBy("owner")))
+        shingles = sets.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"), F.col("n").alias("size"))
+        return sentences.unionByName(shingles).unionByName(opening.withColumn("size", F.lit(1).cast("long")))
     return sentences.unionByName(shingles).unionByName(opening).distinct()
 
 
@@ -102,17 +122,32 @@ class DocumentRegistry(Registry):
 
     def register(self, texts: DataFrame, batch: int) -> bool:
         """Of ``texts(owner, text)``."""
-        return self.add(written(text_elements(texts)), texts.select(F.col("owner").cast("string").alias("owner")), batch)
+        return self.add(text_elements(texts), texts.select(F.col("owner").cast("string").alias("owner")), batch)
 
     def check(self, texts: DataFrame, like: float = LIKE) -> DataFrame:
         """A row for each of ``texts(owner, text)``: how many registered texts share a sentence, the
         most similar one (shingle Jaccard ``like`` or more; ties to the smaller owner) and how
         many have the same opening; an owner's own earlier text doesn't count."""
-        met = written(self.matching(written(text_elements(texts))).where("owner <> other"))
+        mine = self.sized(text_elements(texts))
+        met = written(self.met(mine.where("kind <> 'shingle'")).where("owner <> other"))
         shared = met.where("kind = 'sentence'").groupBy("owner").agg(F.count_distinct("other").alias("n_verbatim"))
         opened = met.where("kind = 'opening'").groupBy("owner").agg(F.count("*").alias("n_opening"))
-        # Sets of sizes too unlike can't resemble each other, however many shingles they share.
-        near = met.where((F.col("kind") == "shingle") & (F.least("size", "other_size") >= like * F.greatest("size", "other_size")))
+        # Sets of sizes too unlike can't resemble each other, however many shingles they share.  A text of
+        # n shingles, s of which are registered, shares like * n with any text like it, so one of its
+        # s - like * n + 1 rarest ones, whichever of the s those are: they alone make candidates.
+        grams = mine.where("kind = 'shingle'")
+        fits = F.least("size", "other_size") >= like * F.greatest("size", "other_size")
+        near = lambda own: self.met(own).where("owner <> other").where(fits)
+        known = near(grams).groupBy("owner", "element").agg(F.count("*").alias("d"))
+        known = grams.join(known, ["owner", "element"])
+        rarest, of = Window.partitionBy("owner").orderBy("d", "element"), Window.partitionBy("owner")
+        place = F.row_number().over(rarest) + F.ceil(F.col("size") * F.lit(like) - 1e-9)
+        heads = written(known.withColumn("place", place).withColumn("s", F.count("*").over(of)).where("place <= s + 1").select(*mine.columns))
+        likely = written(near(heads).select("owner", "other").distinct())
+        likely = F.broadcast(likely) if likely.count() <= FEW else likely
+        # Only texts with candidates are compared, and only with those.
+        some = grams.join(written(likely.select("owner").distinct()), "owner", "left_semi")
+        near = near(written(some)).join(likely, ["owner", "other"], "left_semi")
         pairs = near.groupBy("owner", "other").agg(F.count("*").alias("c"), F.max("size").alias("x"), F.max("other_size").alias("y")).withColumn("j", F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).where(F.col("j") >= like)
         best = pairs.groupBy("owner").agg(F.min_by(F.struct("other", "j"), F.struct(-F.col("j"), F.col("other").try_cast("long"), "other")).alias("b"))
         out = texts.select(F.col("owner").cast("string").alias("owner")).distinct().join(shared, "owner", "left").join(best, "owner", "left").join(opened, "owner", "left")

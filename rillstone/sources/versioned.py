@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import let_go
+
 
 @dataclass
 class Version:
@@ -74,19 +76,23 @@ class VersionedTable:
         rows = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/parts").parquet(*[f"{self.path}/{p}" for p in parts])
         return rows.drop("part")
 
-    def commit(self, rows: DataFrame, writer: str, batch: int, by: list[str] | None = None) -> bool:
-        """Add ``rows`` as batch number ``batch`` of ``writer``; False if that batch is there already."""
+    def commit(self, rows: DataFrame | list[DataFrame], writer: str, batch: int, by: list[str] | None = None) -> bool:
+        """Add ``rows`` (or several slices, written one after the other) as batch number ``batch`` of
+        ``writer``; False if that batch is there already."""
         before = self.version()
         if batch <= before.last.get(writer, -1):
             return False
         part = f"parts/part=p{uuid.uuid4().hex}"
-        self._write(rows, part, by)
+        for rows_ in rows if isinstance(rows, list) else [rows]:
+            self._write(rows_, part, by)
+            if isinstance(rows, list):
+                let_go(self.spark)
         self._publish(Version(before.n + 1, [*before.parts, part], {**before.last, writer: batch}))
         return True
 
     def _write(self, rows: DataFrame, part: str, by: list[str] | None) -> None:
         out = rows.write.partitionBy(*by) if by else rows.write
-        out.parquet(f"{self.path}/{part}")
+        out.mode("append").option("compression", "zstd").parquet(f"{self.path}/{part}")
 
     def compact(self, fold: Callable[[DataFrame], DataFrame], by: list[str] | None = None) -> None:
         """Replace all parts by one with ``fold`` of their rows; drop what is no longer named."""
