@@ -221,3 +221,21 @@ def test_views_of_the_session_stay(spark):
     catalog.QUERIES["length_band_check"](spark, "/root/testdata/sf0.001").count()
     assert spark.table("documents").columns == ["mine"]
     spark.catalog.dropTempView("documents")
+
+
+def test_worst_overlaps(spark):
+    """Against all pairs, with copies, a name that all have, and nulls; equal sets aren't all joined."""
+    import random
+    from collections import defaultdict
+
+    from rillstone.operators.similarity import worst_overlaps
+
+    rng = random.Random(4)
+    sets = {o: {0, *rng.sample(range(1, 14), rng.randrange(1, 8))} for o in range(60)} | {o: {0, 1, 2, 3} for o in range(100, 120)} | {200: set(range(14))}
+    rows = [(o, p) for o, s in sets.items() for p in s for _ in range(rng.choice((1, 2)))] + [(None, 1), (None, 2), (None, 3), (300, None), (300, 1), (300, 2)]
+    got = defaultdict(list)
+    for r in worst_overlaps(spark.createDataFrame(rows, "o long, p long")).collect():
+        got[r.a].append((r.n, r.b))
+    for a, s in sets.items():
+        assert sorted(got[a], reverse=True) == sorted(((len(s & t), b) for b, t in sets.items() if b != a and len(s & t) >= 3), reverse=True)[:5]
+    assert set(got) <= set(sets)
