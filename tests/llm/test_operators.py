@@ -212,6 +212,32 @@ def test_lm_is_a_distribution():
         assert total == pytest.approx(1, abs=2e-3)
 
 
+def test_lm_drops_no_count(spark, monkeypatch):
+    """What the broadcast tables don't hold is joined: tiny ones give the same scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").coalesce(1)
+    whole = {r.id: r for r in lm_score.lm_score(docs, F.col("doc_id") % 3 != 0).collect()}
+    monkeypatch.setattr(lm_score, "BEGINNINGS", 16)
+    for r in lm_score.lm_score(docs, F.col("doc_id") % 3 != 0, frequent=40).collect():
+        assert (r.n_known, r.n_pieces) == (whole[r.id].n_known, whole[r.id].n_pieces)
+        assert (r.score, r.base_score) == pytest.approx((whole[r.id].score, whole[r.id].base_score), rel=1e-9)
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_lm_factors_inside_words(spark, most):
+    """What is worked out for each word is what the plain form gives for a text."""
+    known = [([1, 60], 2), ([1, 60, 70], 1), ([1, 61], 5), ([2], 3), ([3, 60], 1), ([3, 60, 71, 72], 1), ([3, 62], 0), ([4], 0)]
+    model, lexicon, flat, borders = _lm([w for w, c in known for _ in range(c)])
+    rows = [(i, c, np.array(w, np.int32).tobytes()) for i, (w, c) in enumerate(known)] + [(lm_score.END, 7, b"")]
+    inside = {r.word: r.inside for r in lm_score._weighed(spark.createDataFrame(rows, "word long, c long, pieces binary"), model, most).collect()}
+    assert inside.pop(lm_score.END) == 0
+    for i, (w, _) in enumerate(known):
+        flat, borders, inverse, first = np.array(w, np.int32), np.array([0, len(w)]), np.zeros(2, int), np.array([0, 2])
+        ids, begin = lm_score._sequence(inverse, first, flat, borders, 99)
+        log = lm_score._sharpened(model, lexicon, ids, begin, inverse, first, flat, borders).sum()
+        started = model.log_started(np.array([99, w[-1], w[-1]]), np.array([w[0], w[0], 99]), np.array([0, 3])).sum()
+        assert 2 * inside[i] + started == pytest.approx(log, abs=1e-5)
+
+
 def test_lm_gradients():
     model = _lm([[1]])[0]
     rng = np.random.default_rng(1)
