@@ -188,3 +188,10 @@ def test_four_equal_sights_are_two_restarts(spark):
     got = sorted((r.key, r.id) for r in timers.stuck_rows(table(spark, rows)).collect())
     assert got == [(1, 1), (1, 3), (2, 4)]
     assert list(itertools.chain(stuck(rows, 300, 86_400))) and timers.stuck_rows(table(spark, rows).limit(0)).count() == 0
+
+
+def test_slices_of_many_tasks(spark):
+    """Rows that many tasks write are all in time for the stream."""
+    rows = table(spark, [(i % 7, i, 1_700_000_000_000 + i * 60_000, "ab"[i // 9 % 2]) for i in range(900)]).repartition(12)
+    got = timers._streamed(spark, rows, timers.stuck, "key long, id long, ms long, sign string")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, timers.stuck_rows(rows).collect()))
