@@ -10,7 +10,7 @@ one row, by falling impact (the part of BM25 that doesn't depend on the query),
 2. *Prune*: shards and queries meet once.  In each shard the words of a query come by falling
    bounds.  A text that is first met under a word gets no more than the bound of its block and
    those of the words to come: a block where that stays below the threshold isn't read, only looked
-   up for texts met before.  ``TIERS`` times a query, the texts are left out that can't reach
+   up for texts met before that can still reach it.  ``TIERS`` times a query, the texts are left out that can't reach
    the threshold any more, and the threshold rises to the k-th best sum of the shard.
 3. *Finish*: the first k of all shards.
 
@@ -152,9 +152,14 @@ def _first(k: int, tiers: int):
                 begin, end = upto[p], upto[p + 1]
                 stop = min(begin + block[p] * int(np.count_nonzero(v * tops[heads[p] : heads[p + 1]] + rest[i] >= theta)), end)
                 s[number[begin:stop]] += v * impact[begin:stop]
-                met = s[number[stop:end]] > 0
-                s[number[stop:end][met]] += v * impact[stop:end][met]
-                scored += int(stop - begin) + int(np.count_nonzero(met))
+                scored += int(stop - begin)
+                if stop < end:
+                    met = np.flatnonzero(s[number[stop:end]] > 0) + stop
+                    able = s[number[met]] + v * impact[stop] + rest[i] >= theta
+                    s[number[met[~able]]] = -np.inf
+                    met = met[able]
+                    s[number[met]] += v * impact[met]
+                    scored += len(met)
                 if i + 1 == len(place) or tier[i + 1] > tier[i]:
                     held = np.flatnonzero(s > 0)
                     if len(held) > k:
