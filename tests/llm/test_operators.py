@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +223,37 @@ def test_lm_drops_no_count(spark, monkeypatch):
         assert (r.score, r.base_score) == pytest.approx((whole[r.id].score, whole[r.id].base_score), rel=1e-9)
 
 
+def test_lm_keeps_no_texts_on_disk(spark, monkeypatch, tmp_path):
+    """The cut texts go before the rest is joined, where a text names each of its words once."""
+    monkeypatch.setattr("rillstone.llm.common.shared_dir", lambda _: str(tmp_path))
+    rows = [(i, x) for i, x in texts() if i is not None] + [(-1, "stone river stone hill stone"), (-2, " ")]
+    whole = {}
+    for frequent in (3, 0):  # 0: the end token is joined, too
+        before = set(tmp_path.iterdir())
+        out = lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), frequent=frequent)
+        left = [spark.read.parquet(str(p)) for p in set(tmp_path.iterdir()) - before]
+        assert not [t for t in left if "distinct" in t.columns]
+        named, = [t for t in left if "rare" in t.columns]
+        assert named.where(F.size("rare") > 0).count() and not named.where(F.size("rare") > F.size(F.array_distinct("rare"))).count()
+        got = {(r.id, r.n_tokens): (r.n_known, r.base_score, r.score) for r in out.collect()}
+        whole = whole or got
+        assert {k: pytest.approx(v, rel=1e-9) for k, v in whole.items()} == got
+
+
+def test_lm_runs_come_back():
+    words = [np.arange(n) % 7 + b for n, b in ((1, 0), (300, 70_000), (2, 5))]  # more ids than a byte counts, ids beyond 16 bits
+    flat, borders = np.concatenate(words).astype(np.int32), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    ids, rounds, first = pa.array([4, None, 6]), np.array([-1, 0, 1], np.int8), np.array([0, 2, 2, 4])
+    for inverse, flat, borders, first, distinct in ((np.array([2, 1, 0, 1]), flat, borders, first, np.arange(3, dtype=np.uint64)),
+                                                    (np.zeros(0, np.int64), flat[:0], borders[:1], 0 * first, np.zeros(0, np.uint64))):
+        packed = lm_score.Run(ids, rounds, distinct, inverse, first, flat, borders).packed()
+        assert "borders" not in packed.schema.names and packed.column("sizes").nbytes <= 8 + 4 * len(distinct)  # a number a word
+        run, = lm_score.Run.of(packed)
+        assert run.ids.to_pylist() == ids.to_pylist()
+        for name, x in (("rounds", rounds), ("distinct", distinct), ("inverse", inverse), ("first", first), ("flat", flat), ("borders", borders)):
+            assert np.array_equal(getattr(run, name), x), name
+
+
 @pytest.mark.parametrize("most", [1, 1000])
 def test_lm_factors_inside_words(spark, most):
     """What is worked out for each word is what the plain form gives for a text."""
