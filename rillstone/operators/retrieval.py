@@ -260,13 +260,20 @@ def bm25_top5(spark, sf_dir):
     return _documents(spark, sf_dir).search(_queries(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+@F.udf
+def _two_places(score):
+    """As C's printf: the double's exact value decides, where Java rounds its shortest decimal form up."""
+    return None if score is None else f"{score:6.2f}"
+
+
 def printed(hits: DataFrame, texts: DataFrame, width: int = 110) -> DataFrame:
     """``(query_id, rank, line)``: hits as lines to print, with the score to two places, the id, the
     heading (where ``texts`` has one) and below them the beginning of the text's first line."""
     first = F.substr(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0], F.lit(1), F.lit(width))
     heading = F.coalesce("heading", F.lit("")) if "heading" in texts.columns else F.lit("")
     own = texts.select("id", heading.alias("heading"), first.alias("first"))
-    return hits.join(own, "id").select("query_id", "rank", F.format_string("%6.2f  [%s]  %s\n        %s", "score", F.col("id").cast("string"), "heading", "first").alias("line"))
+    line = F.concat(_two_places("score"), F.lit("  ["), F.col("id").cast("string"), F.lit("]  "), F.col("heading"), F.lit("\n        "), F.col("first"))
+    return hits.join(own, "id").select("query_id", "rank", line.alias("line"))
 
 
 @plan(f"{bm25(DUCK)} SELECT h.query_id, h.rank, printf('%6.2f', h.score) || '  [' || h.doc_id || ']  ' || chr(10) || '        ' || substr(string_split(coalesce(c.text, ''), chr(10))[1], 1, 110) AS line FROM hits h JOIN documents c ON c.doc_id = h.doc_id")
