@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import row_sentences, row_shingles
+from ..functions.spans import row_grams, row_sentences, shared_counts
 from ..plans.registry import ask, plan, table
 from ..plans.tables import shared_dir, written
 from ..sources.versioned import VersionedTable
@@ -33,21 +33,29 @@ class Registry:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.buckets = spark, buckets
-        self.elements = VersionedTable(spark, f"{path}/elements", _ELEMENTS)
+        self.elements = VersionedTable(spark, f"{path}/elements", _ELEMENTS, distinct=["element"])
         self.owners = VersionedTable(spark, f"{path}/owners", "owner string, batch long")
 
     def _dealt(self, elements: DataFrame) -> DataFrame:
-        return elements.withColumn("bucket", F.pmod(F.xxhash64("element"), F.lit(self.buckets)).cast("int"))
+        number = F.coalesce(F.col("element").try_cast("long"), F.xxhash64("element"))  # hashes as they are
+        return elements.withColumn("bucket", F.pmod(number, F.lit(self.buckets)).cast("int"))
 
     def add(self, elements: DataFrame, owners: DataFrame, batch: int) -> bool:
         """Register ``owners(owner)`` with ``elements(kind, element, owner)`` as one batch.
 
         Elements come first: until the owners' version is there, they belong to no one, and a
         batch that is handed in again after a crash between the two changes nothing."""
+        made = "size" in elements.columns
         sizes = Window.partitionBy("kind", "owner")
-        own = elements if "size" in elements.columns else elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes))
+        own = elements if made else elements.select("kind", "element", "owner").distinct().withColumn("size", F.count("*").over(sizes))
         rows = self._dealt(own.withColumn("batch", F.lit(batch).cast("long"))).select("element", "owner", "size", "batch", "kind", "bucket")
-        slices = [rows.where(F.col("bucket") % SLICES == i).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "element") for i in range(SLICES)]
+        dealt = lambda some: some.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "element")
+        if made:
+            # Shingles of texts are most of all rows: each task writes its own of them, without a shuffle.
+            mass = F.col("kind") == "shingle"
+            slices = [dealt(rows.where(~mass)), rows.where(mass)]
+        else:
+            slices = [dealt(rows.where(F.col("bucket") % SLICES == i)) for i in range(SLICES)]
         self.elements.commit(slices, "registry", batch, by=["kind", "bucket"])
         return self.owners.commit(owners.select("owner").distinct().withColumn("batch", F.lit(batch).cast("long")), "registry", batch)
 
@@ -58,7 +66,7 @@ class Registry:
     def matching(self, elements: DataFrame) -> DataFrame:
         """``(kind, element, owner, size, other, other_size)``: registered elements equal to the given
         ones.  Only folders of ``(kind, bucket)`` that the given elements fall into are read."""
-        return self.met(self.sized(elements))
+        return self.met(self.sized(elements)).select("kind", "element", "owner", "size", "other", "other_size")
 
     def sized(self, elements: DataFrame) -> DataFrame:
         """``elements`` with the size of each kind of an owner, and their buckets, written."""
@@ -68,17 +76,30 @@ class Registry:
     def met(self, mine: DataFrame) -> DataFrame:
         """``matching`` of sized elements.  The stored ones stay where they are: those of some folders
         meet a broadcast of the given ones that fall into them."""
-        slices = min(self.buckets, -(-mine.count() // FEW))
-        current = written(self.current().withColumnRenamed("owner", "other"))
+        count = mine.count()
+        slices = max(1, min(self.buckets, -(-count // FEW)))
+        alive = self.alive()
         out = []
-        for i in range(max(1, slices)):
-            own = mine.where(F.col("bucket") % max(1, slices) == i)
-            stored = self.reading(own).select("kind", "element", F.col("owner").alias("other"), F.col("size").alias("other_size"), "batch")
-            out.append(stored.join(F.broadcast(own) if mine.count() <= FEW * self.buckets else own, ["kind", "element"]))
+        for i in range(slices):
+            own = mine.where(F.col("bucket") % slices == i)
+            stored = alive(self.reading(own)).select("kind", "element", F.col("owner").alias("other"), F.col("size").alias("other_size"))
+            out.append(stored.join(F.broadcast(own.drop("bucket")) if count <= FEW * self.buckets else own.drop("bucket"), ["kind", "element"]))
         met = out[0]
         for part in out[1:]:
             met = met.unionByName(part)
-        return met.join(current, ["other", "batch"]).select("kind", "element", "owner", "size", "other", "other_size")
+        return met
+
+    def alive(self):
+        """A filter of stored elements: those of batches whose owners are there, and of no owner that
+        came again later.  Superseded owners are looked up, as they are few beside the others."""
+        owners = self.owners.read()
+        batches = [r["batch"] for r in owners.select("batch").distinct().collect()]  # one for each version at most
+        newest = self.current().select("owner", F.col("batch").alias("newest"))
+        old = written(owners.join(newest, "owner").where("batch < newest").select("owner", "batch").distinct())
+        n_old = old.count()
+        old = F.broadcast(old) if n_old <= FEW else old
+        kept = lambda rows: rows.where(F.col("owner").isNotNull() & F.col("batch").isin(batches))
+        return (lambda rows: kept(rows).join(old, ["owner", "batch"], "left_anti")) if n_old else kept
 
     def reading(self, mine: DataFrame) -> DataFrame:
         """The part of ``elements`` that can meet ``mine(kind, bucket)``."""
@@ -106,13 +127,14 @@ def text_elements(texts: DataFrame) -> DataFrame:
     """``(kind, element, owner)`` of ``texts(owner, text)``: sentences of eight words, five-word
     shingles (as 64-bit hashes) and the opening."""
     texts = texts.select(F.col("owner").cast("string").alias("id"), "text")
-    sentences = row_sentences(texts).select(F.lit("sentence").alias("kind"), F.col("s").alias("element"), F.col("id").alias("owner"))
-    sets = row_shingles(texts).select("id", "n", F.explode("set").alias("h"))
-    shingles = sets.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"))
+    said = row_sentences(texts, sized=True)
+    sentences = said.select(F.lit("sentence").alias("kind"), F.col("s").alias("element"), F.col("id").alias("owner"))
+    grams = row_grams(texts, BUCKETS)
+    shingles = grams.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"))
     opening = ask(texts.sparkSession, lambda d: f"SELECT 'opening' AS kind, element, owner FROM (SELECT id AS owner, {first_sentence(d, 'text')} AS element FROM texts) x WHERE element <> ''", texts=texts)
     if not texts.groupBy("id").count().where("count > 1").take(1):  # sizes are those of single rows
-        sentences = sentences.withColumn("size", F.count("*").over(Window.partitionBy("owner")))
-        shingles = sets.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"), F.col("n").alias("size"))
+        sentences = said.select(F.lit("sentence").alias("kind"), F.col("s").alias("element"), F.col("id").alias("owner"), F.col("n").alias("size"))
+        shingles = grams.select(F.lit("shingle").alias("kind"), F.col("h").cast("string").alias("element"), F.col("id").alias("owner"), F.col("n").alias("size"))
         return sentences.unionByName(shingles).unionByName(opening.withColumn("size", F.lit(1).cast("long")))
     return sentences.unionByName(shingles).unionByName(opening).distinct()
 
@@ -124,32 +146,53 @@ class DocumentRegistry(Registry):
         """Of ``texts(owner, text)``."""
         return self.add(text_elements(texts), texts.select(F.col("owner").cast("string").alias("owner")), batch)
 
+    def nearest(self, grams: DataFrame, like: float) -> DataFrame:
+        """``(owner, b(other, j))``: the registered set most like that of each owner of sized shingles.
+
+        The stored shingles that are asked for are read once.  A set like a given one has ``like`` of
+        its own among them; the others go, and sets with the same of them and of one size are one
+        class, as are given sets.  Two like sets of n shingles, s of which both sides know, have one in
+        common among the first s - ``like`` * n + 1, rarest first: those join, then the sets decide."""
+        enough = F.ceil(F.col("n") * F.lit(like) - 1e-9)
+        wanted = written(grams.select("kind", "element", "bucket").distinct())
+        held = self.met(wanted).select("other", F.col("other_size").alias("n"), F.col("element").cast("long").alias("h"))
+        theirs = held.groupBy("other", "n").agg(F.array_sort(F.collect_list("h")).alias("set")).where(F.size("set") >= enough)
+        order = Window.partitionBy("set", "n").orderBy(F.col("other").try_cast("long"), "other")
+        # Of a class the first two members are enough: one of them isn't the owner itself.
+        theirs = written(theirs.withColumn("place", F.row_number().over(order)).where("place <= 2"))
+        pair = F.transform(F.array_sort(F.collect_list(F.struct("place", "other"))), lambda x: x["other"])
+        sets = written(theirs.groupBy("set", "n").agg(pair.alias("others")).withColumn("b", F.monotonically_increasing_id()))
+        counts = written(sets.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("d")))
+        ours = grams.select("owner", F.col("size").alias("n"), F.col("element").cast("long").alias("h")).join(counts, "h")
+        ours = ours.groupBy("owner", "n").agg(F.array_sort(F.collect_list("h")).alias("set")).where(F.size("set") >= enough)
+        ours = written(ours.groupBy("set", "n").agg(F.collect_list("owner").alias("owners")).withColumn("a", F.monotonically_increasing_id()))
+
+        def firsts(rows, c):
+            """The rarest shingles of each class."""
+            all_ = rows.select(c, "n", F.explode("set").alias("h")).join(counts, "h")
+            ranked = all_.groupBy(c, "n").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("all"))
+            first = F.slice("all", F.lit(1), (F.size("all") - enough + 1).cast("int"))
+            return ranked.select(F.col(c), F.col("n").alias(f"n{c}"), F.explode(first).alias("x")).select(c, f"n{c}", F.col("x.h").alias("h"))
+
+        fits = F.least("na", "nb") >= like * F.greatest("na", "nb")
+        likely = written(firsts(ours, "a").join(firsts(sets, "b"), "h").where(fits).select("a", "b", "na", "nb").distinct())
+        met = likely.join(ours.select("a", F.col("set").alias("x")), "a").join(sets.select("b", F.col("set").alias("y")), "b")
+        jaccard = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+        pairs = shared_counts(met, "x", "y").withColumn("j", jaccard).where(F.col("j") >= like)
+        each = pairs.join(ours.select("a", F.explode("owners").alias("owner")), "a").join(sets.select("b", "others"), "b")
+        other = F.filter("others", lambda o: o != F.col("owner"))
+        each = each.select("owner", "j", F.get(other, F.lit(0)).alias("other")).where("other IS NOT NULL")
+        return each.groupBy("owner").agg(F.min_by(F.struct("other", "j"), F.struct(-F.col("j"), F.col("other").try_cast("long"), "other")).alias("b"))
+
     def check(self, texts: DataFrame, like: float = LIKE) -> DataFrame:
         """A row for each of ``texts(owner, text)``: how many registered texts share a sentence, the
         most similar one (shingle Jaccard ``like`` or more; ties to the smaller owner) and how
         many have the same opening; an owner's own earlier text doesn't count."""
         mine = self.sized(text_elements(texts))
-        met = written(self.met(mine.where("kind <> 'shingle'")).where("owner <> other"))
-        shared = met.where("kind = 'sentence'").groupBy("owner").agg(F.count_distinct("other").alias("n_verbatim"))
-        opened = met.where("kind = 'opening'").groupBy("owner").agg(F.count("*").alias("n_opening"))
-        # Sets of sizes too unlike can't resemble each other, however many shingles they share.  A text of
-        # n shingles, s of which are registered, shares like * n with any text like it, so one of its
-        # s - like * n + 1 rarest ones, whichever of the s those are: they alone make candidates.
-        grams = mine.where("kind = 'shingle'")
-        fits = F.least("size", "other_size") >= like * F.greatest("size", "other_size")
-        near = lambda own: self.met(own).where("owner <> other").where(fits)
-        known = near(grams).groupBy("owner", "element").agg(F.count("*").alias("d"))
-        known = grams.join(known, ["owner", "element"])
-        rarest, of = Window.partitionBy("owner").orderBy("d", "element"), Window.partitionBy("owner")
-        place = F.row_number().over(rarest) + F.ceil(F.col("size") * F.lit(like) - 1e-9)
-        heads = written(known.withColumn("place", place).withColumn("s", F.count("*").over(of)).where("place <= s + 1").select(*mine.columns))
-        likely = written(near(heads).select("owner", "other").distinct())
-        likely = F.broadcast(likely) if likely.count() <= FEW else likely
-        # Only texts with candidates are compared, and only with those.
-        some = grams.join(written(likely.select("owner").distinct()), "owner", "left_semi")
-        near = near(written(some)).join(likely, ["owner", "other"], "left_semi")
-        pairs = near.groupBy("owner", "other").agg(F.count("*").alias("c"), F.max("size").alias("x"), F.max("other_size").alias("y")).withColumn("j", F.col("c") / (F.col("x") + F.col("y") - F.col("c"))).where(F.col("j") >= like)
-        best = pairs.groupBy("owner").agg(F.min_by(F.struct("other", "j"), F.struct(-F.col("j"), F.col("other").try_cast("long"), "other")).alias("b"))
+        met = lambda kind: self.met(mine.where(F.col("kind") == kind)).where("owner <> other")
+        shared = met("sentence").groupBy("owner").agg(F.count_distinct("other").alias("n_verbatim"))
+        opened = met("opening").groupBy("owner").agg(F.count("*").alias("n_opening"))
+        best = self.nearest(mine.where("kind = 'shingle'"), like)
         out = texts.select(F.col("owner").cast("string").alias("owner")).distinct().join(shared, "owner", "left").join(best, "owner", "left").join(opened, "owner", "left")
         n_verbatim, n_opening = F.coalesce("n_verbatim", F.lit(0)), F.coalesce("n_opening", F.lit(0))
         severity = F.when((n_verbatim > 0) | (n_opening > 0), "FAIL").when(F.col("b").isNotNull(), "warn").otherwise("ok")

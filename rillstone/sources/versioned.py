@@ -32,10 +32,11 @@ class Version:
 
 
 class VersionedTable:
-    """A table in the folder ``path`` with rows of ``schema``."""
+    """A table in the folder ``path`` with rows of ``schema``; for ``distinct`` columns, whose values
+    seldom repeat in a file, no dictionary is tried."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, distinct: list[str] | None = None):
+        self.spark, self.path, self.schema, self.distinct = spark, path.rstrip("/"), schema, distinct or []
         self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self.fs = self.hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -92,6 +93,8 @@ class VersionedTable:
 
     def _write(self, rows: DataFrame, part: str, by: list[str] | None) -> None:
         out = rows.write.partitionBy(*by) if by else rows.write
+        for c in self.distinct:
+            out = out.option(f"parquet.enable.dictionary#{c}", "false")
         out.mode("append").option("compression", "zstd").parquet(f"{self.path}/{part}")
 
     def compact(self, fold: Callable[[DataFrame], DataFrame], by: list[str] | None = None) -> None:
